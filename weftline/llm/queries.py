@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, pii, secrets
+from . import byte_bpe, line_dedup, pii, quality, secrets, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": lambda spark, sf_dir: pii.digests(documents(spark, sf_dir)),
     "op2_secret_cnn": lambda spark, sf_dir: secrets.digests(documents(spark, sf_dir)),
+    "op5_minimax_shards": lambda spark, sf_dir: sharding.shard(documents(spark, sf_dir)),
+    "op6_winnowed_lines": lambda spark, sf_dir: line_dedup.digests(documents(spark, sf_dir)),
+    "op9_adaptive_rules": lambda spark, sf_dir: quality.digests(documents(spark, sf_dir)),
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.digests(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_winnowed_lines": line_dedup.ORACLE, "op9_adaptive_rules": quality.ORACLE}
