@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, pii, quality, secrets, sharding
+from ..tables import table
+from . import byte_bpe, decontaminate, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": lambda spark, sf_dir: pii.digests(documents(spark, sf_dir)),
     "op2_secret_cnn": lambda spark, sf_dir: secrets.digests(documents(spark, sf_dir)),
+    "op3_phrase_automata": lambda spark, sf_dir: substring_dedup.digests(documents(spark, sf_dir)),
+    "op4_simhash_covering": lambda spark, sf_dir: simhash.digests(documents(spark, sf_dir)),
     "op5_minimax_shards": lambda spark, sf_dir: sharding.shard(documents(spark, sf_dir)),
     "op6_winnowed_lines": lambda spark, sf_dir: line_dedup.digests(documents(spark, sf_dir)),
+    "op7_bm25_leaks": lambda spark, sf_dir: decontaminate.digests(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
     "op9_adaptive_rules": lambda spark, sf_dir: quality.digests(documents(spark, sf_dir)),
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.digests(documents(spark, sf_dir)),
 }
