@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,14 @@ def build_session(app: str = "weftline", cpus: int | None = None, partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Python workers find this package where it is, however the driver found it.
+
+    That serves local sessions and shared installs; on other clusters submit it with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    path = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in path:
+        env["PYTHONPATH"] = os.pathsep.join([*path, root])
