@@ -27,7 +27,7 @@ from .common import written
 #: Entries that one group of `totals` may expect.
 GROUP_ENTRIES = 2_000_000
 BLOCK_DDL = "block bigint, n_words bigint, payload binary"
-REPLY_DDL = "block bigint, part int, payload binary, n_distinct bigint"
+REPLY_DDL = "block bigint, part int, payload binary, n_distinct bigint, n_all bigint"
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
@@ -130,23 +130,29 @@ def distinct(high: np.ndarray, low: np.ndarray | None = None, weight: np.ndarray
     return h[at], None if low is None else lw[at], sums, place
 
 
+def parts_for(entries: int) -> int:
+    """Stretches of the hash range for so many entries of a kind, a power of two."""
+    parts = 1
+    while parts * GROUP_ENTRIES < entries and parts < 1 << 15:
+        parts *= 2
+    return parts
+
+
 Extract = Callable[[list[int | None], list[bytes], list[bytes]], list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]]
 
 
 def totals(blocks: DataFrame, extract: Extract, entries: int, kinds: int, recurs: bool, replies: DataFrame | None = None) -> DataFrame:
-    """(block, part, payload, n_distinct): what came back for each block and stretch of the hash range.
+    """(block, part, payload, n_distinct, n_all): what came back for each block and stretch of the hash range.
 
     extract(ids, texts, earlier payloads) gives, for each kind, the block's ascending distinct keys and
     counts. entries: how many to expect of a kind over all blocks. recurs: the payload says whether a
     key's total is two or more (one bit each), else it holds the totals. A row with a null block gives a
-    part's number of distinct keys whose total isn't zero. replies: earlier answers that extract needs.
+    part's number of distinct keys whose total isn't zero, and the sum of all totals. replies: earlier answers that extract needs.
     """
-    parts = 1
-    while parts * GROUP_ENTRIES < entries and parts < 1 << 15:
-        parts *= 2
+    parts = parts_for(entries)
     shift = np.uint64(64 - (parts.bit_length() - 1)) if parts > 1 else None
     sent = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
-    back = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary()), ("n_distinct", pa.int64())])
+    back = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary()), ("n_distinct", pa.int64()), ("n_all", pa.int64())])
 
     def lists(block: int, payload: bytes, earlier: list[bytes]) -> pa.Table:
         rows = []
@@ -180,6 +186,7 @@ def totals(blocks: DataFrame, extract: Extract, entries: int, kinds: int, recurs
         return pa.Table.from_arrays([
             pa.array([*rows.column("block").to_pylist(), None], pa.int64()), pa.array([part] * (len(sizes) + 1), pa.int32()),
             pa.array([*payloads, None], pa.binary()), pa.array([None] * len(sizes) + [int((sums > 0).sum())], pa.int64()),
+            pa.array([None] * len(sizes) + [int(sums.sum())], pa.int64()),
         ], schema=back)
 
     if replies is None:

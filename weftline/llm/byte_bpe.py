@@ -196,6 +196,23 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return decode(encode(docs, id_col, text_col, path, pattern), id_col, "ids", path, pattern)
 
 
+def listed(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A round trip's rows with the ids as an array<int> in place of packed bytes."""
+    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                packed = part.column(1).to_pylist()
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                values = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, values), part.column(2)], schema=schema)
+
+    out = coded.select(F.col(id_col).alias("key"), "ids", "decoded").mapInArrow(run, "key bigint, ids array<int>, decoded binary")
+    return out.withColumnRenamed("key", id_col)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: Callable[..., DataFrame] = round_trip) -> DataFrame:
     """The contract's columns from a round trip over all of docs."""
     return step(docs, id_col, text_col).select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import byte_bpe, decontaminate, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
+from . import byte_bpe, decontaminate, line_dedup, lm_score, pii, quality, secrets, sharding, simhash, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minimax_shards": lambda spark, sf_dir: sharding.shard(documents(spark, sf_dir)),
     "op6_winnowed_lines": lambda spark, sf_dir: line_dedup.digests(documents(spark, sf_dir)),
     "op7_bm25_leaks": lambda spark, sf_dir: decontaminate.digests(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
+    "op8_deleted_interpolation": lambda spark, sf_dir: lm_score.score(documents(spark, sf_dir)),
     "op9_adaptive_rules": lambda spark, sf_dir: quality.digests(documents(spark, sf_dir)),
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.digests(documents(spark, sf_dir)),
 }
