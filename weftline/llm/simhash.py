@@ -72,15 +72,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, fp, digest) of every row; digest: MD5 of the text, null as empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (t or b"" for at in range(0, batch.num_rows, 256) for t in batch.column(1).slice(at, 256).cast(pa.binary()).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64())], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array([fingerprint(t) for t in texts], pa.int64()), batch.column(2)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest")).mapInArrow(run, "doc_id bigint, fp bigint, digest string")
 
 
 # --- the covering code ------------------------------------------------------------------------------
@@ -202,14 +203,15 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest id of all rows that its links reach."""
+    """(doc_id, fp, digest, root, component_id) of every row: root is the smallest fingerprint that its links reach,
+    component_id the smallest id of all rows that they reach."""
     rows = written(fingerprints(docs, id_col, text_col))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = written(components(links(distinct)))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(rooted.join(named, "root").select("fp", "component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = written(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "digest", "root", "component_id")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,14 +222,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the row with the smallest id; of rows that share it, the one with the smallest MD5 of its text.
 
-    Rows with a null id stay only where their component has no other id.
+    Rows with a null id stay only where their component has no other id. Texts are shuffled once, for the
+    semi-join; only where rows equal in id and text exist are those numbered as well, and one stays.
     """
-    from_row = docs.select(row_struct(docs).alias("_row"))
-    of_id = grouped(docs, id_col, text_col)
-    first = of_id.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    id_in, text_in = F.col(f"_row.`{id_col}`").cast("long"), F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))
-    held = from_row.join(first, id_in.eqNullSafe(F.col("_id")), "left_semi")
-    # rows that share their id: the one whose text has the smallest digest stays (whole rows would be costly to sort)
-    place = F.row_number().over(W.partitionBy("_key").orderBy("_digest"))
-    numbered = held.select("_row", id_in.alias("_key"), F.md5(text_in).alias("_digest")).withColumn("_place", place)
-    return restored(numbered.where("_place = 1"), docs.columns)
+    narrow = written(grouped(docs, id_col, text_col))
+    named = narrow.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    winners = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.digest").alias("_digest")).distinct())
+    key, digest = F.col(f"_row.`{id_col}`").cast("long"), F.md5(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit("")))
+    rows = docs.select(row_struct(docs).alias("_row"))
+    held = rows.join(winners, key.eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    if narrow.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        place = F.row_number().over(W.partitionBy("_key", "_digest").orderBy(F.xxhash64("_row")))
+        held = held.select("_row", key.alias("_key"), digest.alias("_digest")).withColumn("_place", place).where("_place = 1")
+    return restored(held, docs.columns)
