@@ -18,11 +18,11 @@ import hashlib
 import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, ids_and_texts
@@ -478,12 +478,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.mapInArrow(run, "key bigint, masked string").withColumnRenamed("key", id_col).withColumnRenamed("masked", text_col)
 
 
+def _of(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns; the n_ columns count base spans."""
     found = find(docs, id_col, text_col)
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends", "is_base"), lambda s: F.struct(s["kinds"].alias("kind"), F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")).alias("said"), s["is_base"].alias("base")))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     said = found.select(F.col(id_col).alias("doc_id"), spans.alias("spans"))
     return said.select(
         "doc_id",

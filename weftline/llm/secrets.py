@@ -18,12 +18,12 @@ import itertools
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, ids_and_texts
@@ -286,6 +286,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: N
     return out.mapInArrow(run, "key bigint, kinds array<string>, starts array<bigint>, ends array<bigint>, is_base array<boolean>, scores array<double>").withColumnRenamed("key", id_col)
 
 
+def _of(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns; the n_ columns count base spans."""
     zipped = F.transform(F.arrays_zip("kinds", "starts", "ends", "is_base"), lambda s: F.struct(s["kinds"].alias("kind"), F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")).alias("said"), s["is_base"].alias("base")))
@@ -293,7 +297,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     said = find(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), zipped.alias("spans"))
     return said.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.array_join(F.transform(base, lambda s: s["said"]), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", lambda s: s["said"]), ",").alias("spans"),
     )
