@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dialogs, relations, token_windows
+from . import dialogs, mixing, relations, token_windows, vectors
 
 ENTRY = "conv_rounds"
-_FAMILIES = (dialogs, relations, token_windows)
+_FAMILIES = (dialogs, mixing, relations, token_windows, vectors)
 
 QUERIES = {name: build for family in _FAMILIES for name, build in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
