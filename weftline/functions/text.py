@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,11 +13,20 @@ from .fixed_values import ARTICLES, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION
 _WS = r"[\s\x1c-\x1f\x85   -     　]"
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x evaluated once, however often `then` names it; else chains of rules grow exponentially."""
+    return F.get(F.transform(F.array(x), lambda v: then(v)), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at the ends (trim takes spaces only)."""
     return F.regexp_replace(x, f"^{_WS}+|{_WS}+$", "")
 
 
+def _after(start: str) -> Callable[[Column], Column]:
+    return lambda v: F.when(F.contains(v, F.lit(start)), F.split_part(v, F.lit(start), F.lit(2))).otherwise(v)
+
+
 def extract_answer(x: Column) -> Column:
     """The short answer in a reply: quotes go, the first line up to a full stop, comma or exclamation mark is
     lower-cased, then cut by substrings in a fixed order (so 'a ' inside a word counts too)."""
@@ -26,7 +35,7 @@ def extract_answer(x: Column) -> Column:
         out = F.substring_index(out, end, 1)
     out = F.lower(out)
     for start in ("is ", "are ", "a ", "an ", "the "):
-        out = F.when(F.contains(out, F.lit(start)), F.split_part(out, F.lit(start), F.lit(2))).otherwise(out)
+        out = let(out, _after(start))
     for end in (" of", " or ", " and "):
         out = F.substring_index(out, end, 1)
     return strip(out)
@@ -48,7 +57,7 @@ def process_punctuation(x: Column) -> Column:
     out = x
     for p in PUNCTUATION:
         beside = F.contains(x, F.lit(p + " ")) | F.contains(x, F.lit(" " + p))
-        out = F.when(beside | between_digits, F.replace(out, F.lit(p), F.lit(""))).otherwise(F.replace(out, F.lit(p), F.lit(" ")))
+        out = F.replace(out, F.lit(p), F.when(beside | between_digits, "").otherwise(" "))
     return strip_periods(out)
 
 
