@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dialogs, evaluation, mixing, relations, token_windows, vectors
+from . import dialogs, evaluation, ingest, mixing, relations, token_windows, vectors
 
 ENTRY = "conv_rounds"
-_FAMILIES = (dialogs, evaluation, mixing, relations, token_windows, vectors)
+_FAMILIES = (dialogs, evaluation, ingest, mixing, relations, token_windows, vectors)
 
 QUERIES = {name: build for family in _FAMILIES for name, build in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
