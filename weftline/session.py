@@ -8,10 +8,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "weftline", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
-    """A local session for tests and benches; on a cluster the submitted configuration holds."""
+def build_session(app: str = "weftline", cpus: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benches; on a cluster the submitted configuration holds.
+
+    conf: more settings, with __ for dots.
+    """
     n = cpus or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or n))
@@ -20,8 +23,10 @@ def build_session(app: str = "weftline", cpus: int | None = None, partitions: in
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
 
 
 def ensure_importable(spark: SparkSession) -> None:
