@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -20,16 +21,19 @@ GAPS = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
+@functools.cache
+def _own_root() -> str:
+    root = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, root, True)
+    return root
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (plain tests) a temporary folder is made and set.
+    Only where the setting is absent, as in a plain local session, a temporary folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
