@@ -33,7 +33,7 @@ def numbered(df: DataFrame, source: str, order: Column | str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(source).orderBy(order)))
 
 
-def mix(df: DataFrame, source: str, order: Column | str, weights: Mapping[str, float] | None = None, stop: str = "sum", seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, source: str, order: Column | str, weights: Mapping[str, float] | None = None, stop: str = "sum", keep: tuple[str, ...] = ()) -> DataFrame:
     """(source, *keep, vt): sources interleaved by virtual time (row - 0.5) / p, read in the order of vt.
 
     After any stretch of the result a source is within one row of its share. `sum` ends with the last row;

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, quantise_pixel, sincos_embedding
+from ..functions.vectors import cosine, quantise_pixel, sincos_embedding
 from ..operators import metrics, similarity
 from ..tables import table
 
@@ -111,13 +111,6 @@ def pixel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(quantise_pixel((F.col("x").cast("double") + 1) / 2).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-def pair_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dot products of queries with each other."""
-    q = _asked(spark, sf_dir)
-    other = q.select(F.col("vec_id").alias("other"), F.col("embedding").alias("w"))
-    return q.crossJoin(F.broadcast(other)).select("vec_id", "other", F.round(dot("embedding", "w"), 6).alias("dot"))  # a stated query set
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     knn_topk, cosine_mean, rerank_best, mean_vector, covariance, frechet, rank_metrics, ndcg, sincos, logprob_score, beam_topk, pixel_levels,
 )}
