@@ -12,11 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import BOS, IMAGE, PAD, SOI
+from ..functions.hashing import hash01, hash01_sql
 from ..operators import packing
+from ..operators.sequences import labels
 from ..plans import scoring
 from ..sources import shards
 from ..tables import table
-from .token_windows import _samples
+from .token_windows import _TOKENS, _samples, tokens
 
 
 def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +109,6 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean loss over labels that count, of log-probabilities from a hash."""
-    from ..functions.hashing import hash01
-    from ..operators.sequences import labels
-    from .token_windows import tokens
-
     rows = labels(tokens(spark, sf_dir)).withColumn("logp", -hash01(19, F.col("seq"), F.col("pos")))
     return scoring.losses(rows, "logp", "label").select(F.round("loss", 9).alias("loss"))
 
@@ -144,5 +143,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 16 + i, 'train_' || 2 + i || '.jsonl' FROM range(3) t(i)) SELECT CAST(place AS BIGINT) AS place, name FROM n""",
     "metric_table": """SELECT lang || '_mean_chars' AS metric, round(avg(n_chars), 6) AS value FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang
         UNION ALL SELECT lang || '_n', CAST(count(*) AS DOUBLE) FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang""",
+    "token_loss": f"""WITH {_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tokens)
+        SELECT round(avg({hash01_sql('19', 'seq', 'pos')}), 9) AS loss FROM n WHERE NOT (nxt IS NULL OR nxt IN ({PAD}, {IMAGE}, {BOS}) OR (token = {BOS} AND nxt = {SOI}))""",
     "rank_gather": "SELECT 'VizWiz_val_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.jpg' AS image, lang AS answer FROM documents",
 }
