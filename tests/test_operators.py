@@ -135,3 +135,13 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
     plan = relations.facet_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(event_type" in plan and "props" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_caption_scores(spark):
+    w = F.split("t", " ")
+    cand = spark.createDataFrame([(0, "a b c d"), (1, "x y z w")], "id int, t string").select("id", w.alias("w"))
+    refs = spark.createDataFrame([(0, 0, "a b c d"), (1, 0, "p q r s")], "id int, ref_id int, t string").select("id", "ref_id", w.alias("w"))
+    assert {r.id: round(r.cider, 6) for r in metrics.cider(cand, refs, "id", F.col("w"), 4).collect()} == {0: 10.0, 1: 0.0}
+    assert metrics.bleu(cand.where("id = 0"), refs.where("id = 0"), "id", F.col("w"), 2).first().bleu_2 == pytest.approx(1, abs=1e-6)
+    pairs = spark.createDataFrame([(["a", "b", "a", "c"], ["b", "a", "x", "c"]), ([], ["a"])], "c array<string>, r array<string>")
+    assert [round(r.rouge_l, 6) for r in metrics.rouge_l(pairs, "c", "r").collect()] == [0.75, 0.0]

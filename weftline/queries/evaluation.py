@@ -120,14 +120,32 @@ def miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bleu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU of documents' first thirty words against two benchmark items each."""
+    docs, refs = _captions(spark, sf_dir)
+    out = metrics.bleu(docs, refs, "id", F.col("w"), 2)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents' first thirty words and two benchmark items each."""
     words = lambda c: F.array_remove(F.split(F.lower(c), "[ \n]+"), "")
     n = table(spark, sf_dir, "benchmark").count()
     docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.slice(words("text"), 1, 30).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("w"))
-    keyed = docs.select("id", F.explode(F.array((F.col("id") / 10).cast("long") % n, ((F.col("id") / 10).cast("long") + 1) % n)).alias("item_id"))
-    refs = keyed.join(items, "item_id").select("id", F.col("item_id").alias("ref_id"), "w")
-    out = metrics.bleu(docs, refs, "id", F.col("w"), 2)
-    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+    k = (F.col("id") / 10).cast("long")
+    keyed = docs.select("id", F.explode(F.array(k % n, (k + 1) % n)).alias("item_id"))
+    return docs, keyed.join(items, "item_id").select("id", F.col("item_id").alias("ref_id"), "w")
+
+
+def cider_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF cosine of the same captions, orders one and two."""
+    return metrics.cider(*_captions(spark, sf_dir), "id", F.col("w"), 2).withColumn("cider", F.round("cider", 6))
+
+
+def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest common subsequence of the same captions."""
+    docs, refs = _captions(spark, sf_dir)
+    pairs = docs.join(refs.withColumnRenamed("w", "ref"), "id")
+    return metrics.rouge_l(pairs, "w", "ref").select("id", "ref_id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +168,7 @@ def film_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    vqa_accuracy, vqa_scores, vizwiz_accuracy, answer_rules, unanswerable, box_iou_acc, box_format, box_flip, box_pairs, grounded_objects, rescaled_captions, miou, bleu_stats,
+    vqa_accuracy, vqa_scores, vizwiz_accuracy, answer_rules, unanswerable, box_iou_acc, box_format, box_flip, box_pairs, grounded_objects, rescaled_captions, miou, bleu_stats, cider_like, rouge_scores,
     palette, coloured_labels, film_frames,
 )}
 
@@ -257,6 +275,17 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT id, len(d.w) AS c, min({'a': abs(len(r.w) - len(d.w)), 'b': len(r.w)})['b'] AS rr FROM d JOIN r USING (id) GROUP BY id, len(d.w)),
         b AS (SELECT CASE WHEN sum(c) >= sum(rr) THEN 1.0::DOUBLE ELSE exp(1 - sum(rr) / CAST(sum(c) AS DOUBLE)) END AS bp FROM s)
         SELECT round(exp((SELECT l FROM p WHERE o = 1)) * bp, 9) AS bleu_1, round(exp((SELECT avg(l) FROM p)) * bp, 9) AS bleu_2 FROM b""",
+    "cider_like": """WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w != '')[1:30] AS w FROM documents WHERE doc_id % 10 = 0),
+        r AS (SELECT id, item_id, list_filter(regexp_split_to_array(lower(b.text), '[ \\n]+'), lambda w: w != '') AS w FROM d, n, benchmark b WHERE item_id IN (id // 10 % n, (id // 10 + 1) % n)),
+        o AS (SELECT unnest([1, 2]) AS o),
+        dg AS (SELECT id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM d, o, range(1, 31) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL),
+        rg AS (SELECT id, item_id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM r, o, range(1, 400) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL),
+        a AS (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS a FROM r),
+        df AS (SELECT o, g, ln(any_value(a) / count(DISTINCT id)) AS idf FROM rg, a GROUP BY o, g),
+        dw AS (SELECT id, o, g, c * coalesce(idf, ln(a)) AS x FROM dg LEFT JOIN df USING (o, g), a), rw AS (SELECT id, item_id, o, g, c * coalesce(idf, ln(a)) AS x FROM rg LEFT JOIN df USING (o, g), a),
+        dl AS (SELECT id, o, sqrt(sum(x * x)) AS l FROM dw GROUP BY ALL), rl AS (SELECT id, item_id, o, sqrt(sum(x * x)) AS l FROM rw GROUP BY ALL),
+        dot AS (SELECT id, item_id, o, sum(dw.x * rw.x) AS s FROM dw JOIN rw USING (id, o, g) GROUP BY ALL)
+        SELECT id, round(10 * avg(coalesce(s / nullif(dl.l * rl.l, 0), 0)), 6) AS cider FROM r CROSS JOIN o LEFT JOIN dot USING (id, item_id, o) LEFT JOIN dl USING (id, o) LEFT JOIN rl USING (id, item_id, o) GROUP BY id""",
     "palette": "SELECT i AS id, CAST(255 - i % 6 * 42 AS INT) AS b, CAST(255 - i // 6 % 6 * 42 AS INT) AS g, CAST(255 - i // 36 % 6 * 42 AS INT) AS r FROM range(150) t(i)",
     "coloured_labels": "SELECT vec_id, CAST(255 - (label - 1) // 36 % 6 * 42 AS INT) AS r, CAST(255 - (label - 1) // 6 % 6 * 42 AS INT) AS g, CAST(255 - (label - 1) % 6 * 42 AS INT) AS b FROM embeddings WHERE label > 0",
     "film_frames": "SELECT conv_id, turn, turn * 128 AS top, turn * 128 + 128 AS bottom FROM conversations",
