@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -34,7 +35,17 @@ def scratch_dir(spark: SparkSession) -> str:
     Only where the setting is absent, as in a plain local session, a temporary folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
-    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's interpreter ends, if the session still lives then."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
