@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded, ids_and_texts
 
 #: Pieces whose ids a task remembers; it starts anew when full, so memory is bounded and ids don't change.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 #: Longer pieces are never remembered.
 MEMO_CHARS = 64
 
@@ -191,25 +191,39 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     return out.withColumnRenamed("key", id_col).withColumnRenamed("ids", ids_col)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode, then decode the ids that came out."""
-    return decode(encode(docs, id_col, text_col, path, pattern), id_col, "ids", path, pattern)
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, as_list: bool = False) -> DataFrame:
+    """(id, ids, decoded): each text encoded, and the ids that came out decoded, in one pass.
 
-
-def listed(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A round trip's rows with the ids as an array<int> in place of packed bytes."""
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+    ids are packed, or an array<int> with as_list. One pass needs one Python worker a core with one
+    vocabulary; encode() and decode() in a row would hold two of each.
+    """
+    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()) if as_list else pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                packed = part.column(1).to_pylist()
+        codec = _task_codec(path, pattern)
+
+        def done(keys: list, texts: list[str]) -> pa.RecordBatch:
+            packed = codec.encode(texts)
+            ids = pa.array(packed, pa.binary())
+            if as_list:
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                values = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, values), part.column(2)], schema=schema)
+                ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+            return pa.record_batch([pa.array(keys, pa.int64()), ids, pa.array([codec.decode(p) for p in packed], pa.binary())], schema=schema)
 
-    out = coded.select(F.col(id_col).alias("key"), "ids", "decoded").mapInArrow(run, "key bigint, ids array<int>, decoded binary")
+        for batch in batches:
+            keys, texts, size = [], [], 0
+            for key, text in ids_and_texts(batch):
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
+                if size > 1 << 20:
+                    yield done(keys, texts)
+                    keys, texts, size = [], [], 0
+            if keys:
+                yield done(keys, texts)
+
+    ddl = f"key bigint, ids {'array<int>' if as_list else 'binary'}, decoded binary"
+    out = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
     return out.withColumnRenamed("key", id_col)
 
 
