@@ -170,8 +170,9 @@ def links(distinct: DataFrame) -> DataFrame:
     homes = all_visits.where("home").select("anchor", F.col("fp").alias("a"))
     guests = all_visits.select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD
-    # a pair meets at either's home; a < b there keeps the meeting at a's
-    return homes.join(guests, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    # a pair meets at either's home; a < b there keeps the meeting at a's. The planner takes visits to be as few
+    # as the fingerprints and would broadcast them, so it is told to sort and merge.
+    return homes.hint("merge").join(guests, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 # --- components ---------------------------------------------------------------------------------------
