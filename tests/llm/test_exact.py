@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from weftline.llm import blocks, byte_bpe, decontaminate, line_dedup, lm_score, pii, quality, secrets, sharding, simhash, substring_dedup
+from weftline.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -334,7 +335,7 @@ def test_quality_counts(docs, rows):
 
 
 def test_sketches_merge(spark, docs):
-    rated = quality.rates(quality.counted(docs, docs["text"], [docs["lang"], docs["source"], docs["doc_id"]]))
+    rated = written(quality.rates(quality.counted(docs, docs["text"], [docs["lang"], docs["source"], docs["doc_id"]])))
     rules = quality.Rules()
     whole = quality.sketches(rated, rules)
     parts = quality.sketches(rated.where("doc_id % 2 = 0"), rules).unionByName(quality.sketches(rated.where("doc_id % 2 != 0 OR doc_id IS NULL"), rules))

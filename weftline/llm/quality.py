@@ -83,7 +83,10 @@ def binned(value: Column) -> Column:
 
 
 def sketches(rated: DataFrame, rules: Rules) -> DataFrame:
-    """(lang, source, rate, bin, n) over the rows that pass the base rule: sums, so parts can be merged at will."""
+    """(lang, source, rate, bin, n) over the rows that pass the base rule: sums, so parts can be merged at will.
+
+    rated should be a written table: a filter pushed below the counting expressions would evaluate them per word.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), binned(F.col(r)).alias("bin")) for r in RATES]))
     return rated.where(~failed(rules)).select("lang", "source", pairs.alias("x")).groupBy("lang", "source", "x.rate", "x.bin").agg(F.count("*").alias("n"))
 
