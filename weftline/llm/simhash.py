@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +46,18 @@ ROUNDS = 60
 _LANE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle, repeats included; of the whole sequence where there are fewer words."""
     words = text.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= width:
         return np.array([digest(b" ".join(words), SEED)], np.uint64)
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     starts = itertools.chain((0,), ends)
-    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], np.uint64)  # noqa: B905
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)  # noqa: B905
 
 
 def fingerprint(text: bytes) -> int:
@@ -206,12 +206,16 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, digest, root, component_id) of every row: root is the smallest fingerprint that its links reach,
     component_id the smallest id of all rows that they reach."""
-    rows = written(fingerprints(docs, id_col, text_col))
+    return rooted(written(fingerprints(docs, id_col, text_col)), links)
+
+
+def rooted(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows (doc_id, fp, digest) with the root and the component_id that the links of their fingerprints give."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = written(components(links(distinct)))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(rooted.join(named, "root").select("fp", "root", "component_id"))
+    roots = written(components(linked(distinct)))
+    of_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = written(of_root.join(named, "root").select("fp", "root", "component_id"))
     return rows.join(of_fp, "fp").select("doc_id", "fp", "digest", "root", "component_id")
 
 
@@ -220,13 +224,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: Callable[..., DataFrame] = grouped) -> DataFrame:
     """Of each component the row with the smallest id; of rows that share it, the one with the smallest MD5 of its text.
 
     Rows with a null id stay only where their component has no other id. Texts are shuffled once, for the
     semi-join; only where rows equal in id and text exist are those numbered as well, and one stays.
     """
-    narrow = written(grouped(docs, id_col, text_col))
+    narrow = written(group(docs, id_col, text_col))
     named = narrow.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     winners = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.digest").alias("_digest")).distinct())
     key, digest = F.col(f"_row.`{id_col}`").cast("long"), F.md5(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit("")))
