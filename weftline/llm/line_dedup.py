@@ -1,8 +1,11 @@
 """Line dedup by winnowing (operator 6), in DataFrame functions only.
 
-A document is the sequence of its lines that have a word, split at \\n. In every window of `run` such
-lines the one with the smallest hash is the window's fingerprint, so two equal stretches of `run`
-lines or more select a common fingerprint. Fingerprints that were selected more than once are joined
+A document is the sequence of its lines that have a word, split at \\n. Windows are all stretches of `run`
+such lines, all shorter ones of more than `words` words, and a document of fewer than `run` lines as a
+whole: equal stretches of whole lines go if they have `run` lines or more than `words` words, and copies
+of short documents go; a short line alone stays. In every window of `run` lines the one with the smallest
+hash is the window's fingerprint, so two equal stretches of `run` lines or more select a common
+fingerprint; a shorter window is its own. Fingerprints that were selected more than once are joined
 with their positions and extended both ways to the windows that selected them; windows that touch
 merge into runs. A line goes where a window over it begins with the same lines as a window at an
 earlier place: smaller doc_id (null first), then smaller MD5 of the text, then earlier line. So the
@@ -15,35 +18,46 @@ columns of any name are carried in a struct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, row_struct, written
 
 RUN = 3
+WORDS = 50
 
 
-def winnowed(rows: DataFrame, run: int) -> DataFrame:
-    """(doc, i, h, fresh, w): for each window of run lines from i on its fingerprint's hash, whether the window
+def winnowed(rows: DataFrame, run: int, words: int = WORDS) -> DataFrame:
+    """(doc, i, k, h, fresh, w): for each window of k lines from i on its fingerprint's hash, whether the window
     before chose another place, and the hash of the whole window."""
-    hashed = F.filter(F.transform(F.split("text", "\n"), lambda line: F.struct(F.xxhash64(line).alias("h"), line.rlike(WORD).alias("has"))), lambda x: x["has"])
-    lines = rows.select("doc", F.transform(hashed, lambda x: x["h"]).alias("c"))
+    hashed = F.filter(F.transform(F.split("text", "\n"), lambda line: F.struct(F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0)
+    lines = rows.select("doc", hashed.alias("x")).where(F.size("x") > 0).select("doc", F.transform("x", lambda x: x["h"]).alias("c"), F.transform("x", lambda x: x["n"]).alias("n"))
+    size = F.size("c")
     own = lambda i: F.array_min(F.transform(F.slice("c", i + 1, run), lambda h, o: F.struct(h.alias("h"), (o + i).alias("p"))))
-    window = F.transform(F.sequence(F.lit(0), F.size("c") - run), lambda i: F.struct(i.alias("i"), own(i).alias("f"), F.xxhash64(*[F.get("c", i + k) for k in range(run)]).alias("w")))
-    found = lines.where(F.size("c") >= run).select("doc", window.alias("v"))
-    marked = F.transform("v", lambda x, i: F.struct(x["i"].alias("i"), x["f"]["h"].alias("h"), F.coalesce(F.get("v", i - 1)["f"]["p"] != x["f"]["p"], F.lit(True)).alias("fresh"), x["w"].alias("w")))
-    return found.select("doc", F.explode(marked).alias("x")).select("doc", "x.i", "x.h", "x.fresh", "x.w")
+    whole = lambda i, k: F.xxhash64(*[F.get("c", i + j) for j in range(k)])
+    window = F.transform(F.sequence(F.lit(0), size - run), lambda i: F.struct(i.alias("i"), own(i).alias("f"), whole(i, run).alias("w")))
+    found = lines.select("doc", "c", "n", F.when(size >= run, window).alias("v"))
+    part = lambda i, k, h, fresh, w: F.struct(i.alias("i"), F.lit(k).alias("k"), h.alias("h"), fresh.alias("fresh"), w.alias("w"))
+    marked = F.transform("v", lambda x, i: part(x["i"], run, x["f"]["h"], F.coalesce(F.get("v", i - 1)["f"]["p"] != x["f"]["p"], F.lit(True)), x["w"]))
+
+    def short(k: int) -> Column:
+        alone = lambda i: (sum(F.get("n", i + j) for j in range(k)) > words) | ((size == k) & (size < run))
+        starts = F.when(size >= k, F.filter(F.sequence(F.lit(0), size - k), alone))
+        return F.transform(starts, lambda i: part(i, k, F.xxhash64(F.lit(k), whole(i, k)), F.lit(True), whole(i, k)))
+
+    all_windows = [F.coalesce(x, F.array().cast("array<struct<i:int,k:int,h:bigint,fresh:boolean,w:bigint>>")) for x in (marked, *[short(k) for k in range(1, run)])]
+    return found.select("doc", F.explode(F.concat(*all_windows)).alias("x")).select("doc", "x.i", "x.k", "x.h", "x.fresh", "x.w")
 
 
 def doomed(rows: DataFrame, run: int) -> DataFrame:
     """(doc, gone): of each document that repeats something, the places among its lines with a word."""
     windows = written(winnowed(rows, run))
     recurring = windows.groupBy("h").agg(F.sum(F.col("fresh").cast("long")).alias("n")).where("n > 1").select("h")
-    extended = windows.join(recurring, "h", "left_semi").select("doc", "i", "h", "w")
+    extended = windows.join(recurring, "h", "left_semi").select("doc", "i", "k", "h", "w")
     place = F.struct("doc", "i")
-    first = extended.groupBy("h", "w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "w", "first")
-    later = extended.join(first, ["h", "w"]).where(place != F.col("first")).select("doc", "i")
-    return later.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", F.col("i") + run - 1)))).alias("gone"))
+    first = extended.groupBy("h", "w", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "w", "k", "first")
+    later = extended.join(first, ["h", "w", "k"]).where(place != F.col("first")).select("doc", "i", "k")
+    return later.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", F.col("i") + F.col("k") - 1)))).alias("gone"))
 
 
 def dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
