@@ -81,13 +81,12 @@ def box_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = tuple(F.get("gt_box", F.lit(k)) / (640.0 if k % 2 == 0 else 480.0) for k in range(4))
     x1, x2 = boxes.flip(b[0], b[2])
     c = boxes.crop(b, (F.lit(0.2), F.lit(0.2), F.lit(0.6), F.lit(0.6)))
-    rows = _boxes(spark, sf_dir).where(F.col("l_partkey") % 10 == 0)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(x1, 9).alias("x1"), F.round(x2, 9).alias("x2"), *[F.round(v, 9).alias(f"c{k}") for k, v in enumerate(c)])
+    return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.round(x1, 9).alias("x1"), F.round(x2, 9).alias("x2"), *[F.round(v, 9).alias(f"c{k}") for k, v in enumerate(c)])
 
 
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of every pair of boxes of an order (J13): an order is an image, with seven lines at most."""
-    rows = _boxes(spark, sf_dir).where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "gt_box")
+    rows = _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "gt_box")
     other = rows.select("l_orderkey", F.col("l_linenumber").alias("m"), F.col("l_partkey").alias("q"), F.col("gt_box").alias("b2"))
     box = lambda c: tuple(F.get(c, F.lit(k)) for k in range(4))
     return rows.join(other, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "m", "q", F.round(boxes.iou(box("gt_box"), box("b2")), 9).alias("iou"))
