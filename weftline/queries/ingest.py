@@ -54,6 +54,10 @@ def zip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.unzipped(_zipped(spark, sf_dir)).where("error IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n"))
 
 
+#: Documents in an archive, on average.
+TAR_DOCS = 50
+
+
 def tar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of tar members by base name; a repeated extension begins the next (S3)."""
 
@@ -72,15 +76,16 @@ def tar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((f"/shards/{shard}.tar", body.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id")
-    groups = docs.groupBy((F.col("doc_id") % 4).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    n = -(-docs.count() // TAR_DOCS) or 1
+    groups = docs.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
     samples = shards.grouped_members(shards.untarred(groups.mapInPandas(pack, "path string, content binary")))
     return samples.select("shard", "key", F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files")).groupBy("shard", "key", "files").agg(F.count("*").alias("n"))
 
 
 def caption_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions that are a string or a list of strings, as one text."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.substring("text", 1, 40).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     one, many = F.to_json(F.struct(F.col("t").alias("caption"))), F.to_json(F.struct(F.array("t", F.lit("two")).alias("caption")))
     v = F.try_parse_json(F.when(F.col("doc_id") % 2 == 0, one).otherwise(many))
     as_list = F.try_variant_get(v, "$.caption", "array<string>")
