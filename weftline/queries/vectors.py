@@ -47,8 +47,10 @@ def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample covariance of the first eight dimensions (A10)."""
-    return similarity.covariance(_vectors(spark, sf_dir), "vec_id", "embedding", 8).withColumn("cov", F.round("cov", 9))
+    """Sample covariance of all dimensions (A10)."""
+    _, _, cov = similarity.moments(_vectors(spark, sf_dir), "embedding")
+    cells = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]  # d x d numbers
+    return spark.createDataFrame(cells, "i bigint, j bigint, cov double").withColumn("cov", F.round("cov", 9))
 
 
 def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +89,10 @@ def sincos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logprob_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option scores: log-softmax over a vector's first eight entries, gathered at its label, summed by label."""
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    """Option scores: log-softmax over a vector's entries, gathered at its label, summed by label."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     lse = F.log(F.aggregate(F.transform(logits, F.exp), F.lit(0.0), lambda a, x: a + x))
-    lp = F.get(logits, (F.col("label") % 8).cast("int")) - lse
+    lp = F.get(logits, F.col("label").cast("int")) - lse
     return _vectors(spark, sf_dir).groupBy("label").agg(F.round(F.sum(lp), 6).alias("score"), F.count("*").alias("n"))
 
 
@@ -99,7 +101,7 @@ def beam_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     beams, vocab = 4, 64
-    flat = _vectors(spark, sf_dir).where("vec_id < 100").select(F.floor(F.col("vec_id") / beams).alias("batch"), (F.col("vec_id") % beams).alias("b"), F.posexplode("embedding").alias("t", "x"))
+    flat = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / beams).alias("batch"), (F.col("vec_id") % beams).alias("b"), F.posexplode("embedding").alias("t", "x"))
     index = (F.col("b") * vocab + F.col("t")).alias("ix")
     best = flat.select("batch", index, F.col("x").cast("double").alias("x")).withColumn("rank", F.row_number().over(W.partitionBy("batch").orderBy(F.desc("x"), "ix")).cast("long")).where(F.col("rank") <= 2 * beams)
     return best.select("batch", "rank", F.floor(F.col("ix") / vocab).alias("beam"), (F.col("ix") % vocab).alias("token"))
