@@ -118,26 +118,25 @@ def miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bleu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BLEU of documents' first thirty words against two benchmark items each."""
+    """BLEU-1 to BLEU-4 of documents against two benchmark items each."""
     docs, refs = _captions(spark, sf_dir)
-    out = metrics.bleu(docs, refs, "id", F.col("w"), 2)
+    out = metrics.bleu(docs, refs, "id", F.col("w"))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents' first thirty words and two benchmark items each."""
+    """Words of all documents and two benchmark items each."""
     words = lambda c: F.array_remove(F.split(F.lower(c), "[ \n]+"), "")
     n = table(spark, sf_dir, "benchmark").count()
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.slice(words("text"), 1, 30).alias("w"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words("text").alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("w"))
-    k = (F.col("id") / 10).cast("long")
-    keyed = docs.select("id", F.explode(F.array(k % n, (k + 1) % n)).alias("item_id"))
+    keyed = docs.select("id", F.explode(F.array(F.col("id") % n, (F.col("id") + 1) % n)).alias("item_id"))
     return docs, keyed.join(items, "item_id").select("id", F.col("item_id").alias("ref_id"), "w")
 
 
 def cider_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF-IDF cosine of the same captions, orders one and two."""
-    return metrics.cider(*_captions(spark, sf_dir), "id", F.col("w"), 2).withColumn("cider", F.round("cider", 6))
+    """TF-IDF cosine of the same captions, orders one to four."""
+    return metrics.cider(*_captions(spark, sf_dir), "id", F.col("w")).withColumn("cider", F.round("cider", 6))
 
 
 def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
