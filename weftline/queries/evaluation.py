@@ -15,7 +15,7 @@ from ..tables import table
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted answer and ten ground truths of every third conversation turn, derived from its words."""
+    """Predicted answer and ten ground truths of every conversation turn, derived from its words."""
     words = F.split(F.lower("text"), " ")
     pick = lambda k: F.get("w", (F.lit(k) % F.size("w")).cast("int"))
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("role").alias("question_type"), "turn", words.alias("w"))
@@ -48,7 +48,7 @@ def answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision and F1 of toxic labels scored by document length."""
+    """Average precision and F1 of quality labels scored by the last two digits of the document's length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 100 / 100.0).alias("s"))
     out = metrics.unanswerability(table(spark, sf_dir, "labels").join(docs, "doc_id"), "quality", "s", "doc_id")
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
@@ -93,7 +93,7 @@ def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
     x = (F.col("p") % 300).cast("string")
     caption = F.concat(F.lit("a <ref>dog "), F.col("p").cast("string"), F.lit("</ref><box>("), x, F.lit(",20)(400,300)</box> and <ref>cat</ref><box>(1,2)("), x, F.lit(",4)</box><box>(5,6)(7,8)</box>."))
     return orders.select("l_orderkey", caption.alias("caption"))
@@ -233,7 +233,7 @@ _BOXES = """boxes AS (SELECT *, CASE WHEN p = 13 THEN 'no box' ELSE printf('(%03
     FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_partkey % 100 AS p, (l_suppkey % 50) * 3.0::DOUBLE AS s, CAST(l_partkey % 100 % 7 * 6 AS DOUBLE) AS sh FROM lineitem)),
 parsed AS (SELECT *, coalesce(TRY_CAST(regexp_extract(pred_box, '\\(([0-9]+),([0-9]+)\\)\\(([0-9]+),([0-9]+)\\)', 1) AS DOUBLE), 0) AS a1, coalesce(TRY_CAST(regexp_extract(pred_box, '\\(([0-9]+),([0-9]+)\\)\\(([0-9]+),([0-9]+)\\)', 2) AS DOUBLE), 0) AS a2,
     coalesce(TRY_CAST(regexp_extract(pred_box, '\\(([0-9]+),([0-9]+)\\)\\(([0-9]+),([0-9]+)\\)', 3) AS DOUBLE), 0) AS a3, coalesce(TRY_CAST(regexp_extract(pred_box, '\\(([0-9]+),([0-9]+)\\)\\(([0-9]+),([0-9]+)\\)', 4) AS DOUBLE), 0) AS a4 FROM boxes)"""
-_GROUNDED = """g AS (SELECT l_orderkey, min(l_partkey) AS p, CAST(min(l_partkey) % 300 AS VARCHAR) AS x FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"""
+_GROUNDED = """g AS (SELECT l_orderkey, min(l_partkey) AS p, CAST(min(l_partkey) % 300 AS VARCHAR) AS x FROM lineitem GROUP BY 1)"""
 
 ORACLE_SQL: dict[str, str] = {
     "vqa_scores": f"WITH {_SCORES} SELECT question_id, round(score, 9) AS score FROM scores",
@@ -251,10 +251,10 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT greatest(least(x2, g3) - greatest(x1, g1), 0) * greatest(least(y2, g4) - greatest(y1, g2), 0) AS inter, (x2 - x1) * (y2 - y1) + (g3 - g1) * (g4 - g2) AS areas FROM i)
         SELECT round(avg(CASE WHEN inter / (areas - inter) >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, count(*) AS n FROM k""",
     "box_format": f"WITH {_BOXES} SELECT pred_box, count(*) AS n, sum((a3 - a1) * (a4 - a2)) AS area FROM parsed WHERE a1 <= a3 AND a2 <= a4 GROUP BY 1",
-    "box_flip": f"""WITH {_BOXES}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, q * 4 / 640 AS a, s / 480 AS b, (q * 4 + 100) / 640 AS c, (s + 120) / 480 AS d FROM boxes WHERE l_partkey % 10 = 0),
+    "box_flip": f"""WITH {_BOXES}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, q * 4 / 640 AS a, s / 480 AS b, (q * 4 + 100) / 640 AS c, (s + 120) / 480 AS d FROM boxes),
         w AS (SELECT *, least(0.2, a) AS u, least(0.2, b) AS v, greatest(0.6, c) - least(0.2, a) AS w, greatest(0.6, d) - least(0.2, b) AS h FROM r)
         SELECT l_orderkey, l_linenumber, l_partkey, round(1 - c, 9) AS x1, round(1 - a, 9) AS x2, round((a - u) / w, 9) AS c0, round((b - v) / h, 9) AS c1, round((c - u) / w, 9) AS c2, round((d - v) / h, 9) AS c3 FROM w""",
-    "box_pairs": f"""WITH {_BOXES}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, q * 4 AS x1, s AS y1, q * 4 + 100 AS x2, s + 120 AS y2 FROM boxes WHERE l_orderkey % 20 = 0),
+    "box_pairs": f"""WITH {_BOXES}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, q * 4 AS x1, s AS y1, q * 4 + 100 AS x2, s + 120 AS y2 FROM boxes),
         k AS (SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_linenumber AS m, b.l_partkey AS q, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS inter FROM r a JOIN r b USING (l_orderkey))
         SELECT l_orderkey, l_linenumber, l_partkey, m, q, round(inter / (24000.0 - inter), 9) AS iou FROM k""",
     "grounded_objects": f"""WITH {_GROUNDED} SELECT l_orderkey, CAST(0 AS BIGINT) AS k, 'dog ' || p AS phrase, '(' || x || ',20)(400,300)' AS boxes FROM g
@@ -264,20 +264,20 @@ ORACLE_SQL: dict[str, str] = {
             CAST(trunc(1 / 640.0 * 999) AS INT), CAST(trunc(2 / 480.0 * 999) AS INT), x, CAST(trunc(4 / 480.0 * 999) AS INT), CAST(trunc(5 / 640.0 * 999) AS INT), CAST(trunc(6 / 480.0 * 999) AS INT), CAST(trunc(7 / 640.0 * 999) AS INT), CAST(trunc(8 / 480.0 * 999) AS INT)) AS caption FROM f""",
     "miou": """WITH x AS (SELECT CASE WHEN toxic = 1 AND quality = 0 THEN 0 ELSE quality + 1 END AS g, toxic FROM labels), y AS (SELECT g, CASE WHEN g = 0 THEN 0 ELSE toxic + 1 END AS p FROM x)
         SELECT round(sum((SELECT count(*) FROM y WHERE g = c AND p = c) / ((SELECT count(*) FROM y WHERE g = c OR p = c) + 1e-10)) / 2, 9) AS "mIoU" FROM (VALUES (1), (2)) t(c)""",
-    "bleu_stats": """WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w != '')[1:30] AS w FROM documents WHERE doc_id % 10 = 0),
-        r AS (SELECT id, item_id, list_filter(regexp_split_to_array(lower(b.text), '[ \\n]+'), lambda w: w != '') AS w FROM d, n, benchmark b WHERE item_id IN (id // 10 % n, (id // 10 + 1) % n)),
-        o AS (SELECT unnest([1, 2]) AS o),
-        dg AS (SELECT id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM d, o, range(1, 31) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL),
-        rg AS (SELECT id, o, g, max(c) AS c FROM (SELECT id, item_id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM r, o, range(1, 400) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL) GROUP BY ALL),
+    "bleu_stats": """WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w != '') AS w FROM documents),
+        r AS (SELECT id, item_id, list_filter(regexp_split_to_array(lower(b.text), '[ \\n]+'), lambda w: w != '') AS w FROM d, n, benchmark b WHERE item_id IN (id % n, (id + 1) % n)),
+        o AS (SELECT unnest([1, 2, 3, 4]) AS o),
+        dg AS (SELECT id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM (SELECT id, o, w, unnest(range(1, len(w) - o + 2)) AS i FROM d, o) GROUP BY ALL),
+        rg AS (SELECT id, o, g, max(c) AS c FROM (SELECT id, item_id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM (SELECT id, item_id, o, w, unnest(range(1, len(w) - o + 2)) AS i FROM r, o) GROUP BY ALL) GROUP BY ALL),
         p AS (SELECT dg.o, ln(sum(least(dg.c, coalesce(rg.c, 0))) / CAST(sum(dg.c) AS DOUBLE) + 1e-15) AS l FROM dg LEFT JOIN rg USING (id, o, g) GROUP BY dg.o),
         s AS (SELECT id, len(d.w) AS c, min({'a': abs(len(r.w) - len(d.w)), 'b': len(r.w)})['b'] AS rr FROM d JOIN r USING (id) GROUP BY id, len(d.w)),
         b AS (SELECT CASE WHEN sum(c) >= sum(rr) THEN 1.0::DOUBLE ELSE exp(1 - sum(rr) / CAST(sum(c) AS DOUBLE)) END AS bp FROM s)
-        SELECT round(exp((SELECT l FROM p WHERE o = 1)) * bp, 9) AS bleu_1, round(exp((SELECT avg(l) FROM p)) * bp, 9) AS bleu_2 FROM b""",
-    "cider_like": """WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w != '')[1:30] AS w FROM documents WHERE doc_id % 10 = 0),
-        r AS (SELECT id, item_id, list_filter(regexp_split_to_array(lower(b.text), '[ \\n]+'), lambda w: w != '') AS w FROM d, n, benchmark b WHERE item_id IN (id // 10 % n, (id // 10 + 1) % n)),
-        o AS (SELECT unnest([1, 2]) AS o),
-        dg AS (SELECT id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM d, o, range(1, 31) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL),
-        rg AS (SELECT id, item_id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM r, o, range(1, 400) t(i) WHERE i <= len(w) - o + 1 GROUP BY ALL),
+        SELECT round(exp((SELECT avg(l) FROM p WHERE o <= 1)) * bp, 9) AS bleu_1, round(exp((SELECT avg(l) FROM p WHERE o <= 2)) * bp, 9) AS bleu_2, round(exp((SELECT avg(l) FROM p WHERE o <= 3)) * bp, 9) AS bleu_3, round(exp((SELECT avg(l) FROM p)) * bp, 9) AS bleu_4 FROM b""",
+    "cider_like": """WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w != '') AS w FROM documents),
+        r AS (SELECT id, item_id, list_filter(regexp_split_to_array(lower(b.text), '[ \\n]+'), lambda w: w != '') AS w FROM d, n, benchmark b WHERE item_id IN (id % n, (id + 1) % n)),
+        o AS (SELECT unnest([1, 2, 3, 4]) AS o),
+        dg AS (SELECT id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM (SELECT id, o, w, unnest(range(1, len(w) - o + 2)) AS i FROM d, o) GROUP BY ALL),
+        rg AS (SELECT id, item_id, o, array_to_string(w[i:i + o - 1], ' ') AS g, count(*) AS c FROM (SELECT id, item_id, o, w, unnest(range(1, len(w) - o + 2)) AS i FROM r, o) GROUP BY ALL),
         a AS (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS a FROM r),
         df AS (SELECT o, g, ln(any_value(a) / count(DISTINCT id)) AS idf FROM rg, a GROUP BY o, g),
         dw AS (SELECT id, o, g, c * coalesce(idf, ln(a)) AS x FROM dg LEFT JOIN df USING (o, g), a), rw AS (SELECT id, item_id, o, g, c * coalesce(idf, ln(a)) AS x FROM rg LEFT JOIN df USING (o, g), a),

@@ -54,6 +54,8 @@ def zip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.unzipped(_zipped(spark, sf_dir)).where("error IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n"))
 
 
+#: Every language of the documents.
+LANGUAGES = ("de", "en", "es", "fr")
 #: Documents in an archive, on average.
 TAR_DOCS = 50
 
@@ -78,7 +80,7 @@ def tar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = -(-docs.count() // TAR_DOCS) or 1
-    groups = docs.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
+    groups = docs.groupBy(F.floor(hash01("tar", F.col("doc_id")) * n).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
     samples = shards.grouped_members(shards.untarred(groups.mapInPandas(pack, "path string, content binary")))
     return samples.select("shard", "key", F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files")).groupBy("shard", "key", "files").agg(F.count("*").alias("n"))
 
@@ -106,10 +108,10 @@ def scored_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of two sources under prefixed keys (X11)."""
+    """Metrics of each language's documents under prefixed keys (X11)."""
     docs = table(spark, sf_dir, "documents")
     one = lambda df: df.agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count("*").cast("double").alias("n"))
-    return scoring.evaluate({x: docs.where(F.col("lang") == x) for x in ("en", "fr")}, {x: one for x in ("en", "fr")})
+    return scoring.evaluate({x: docs.where(F.col("lang") == x) for x in LANGUAGES}, {x: one for x in LANGUAGES})
 
 
 def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,13 +143,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "unpack_zip": "SELECT 'docs_shard_' || conv_id % 8 || '_v2.jsonl' AS shard, conv_id, turn, text FROM conversations",
     "zip_errors": "SELECT 'docs_shard_8_v2.jsonl' AS shard, CAST(1 AS BIGINT) AS n",
-    "tar_groups": """WITH d AS (SELECT doc_id, doc_id % 4 || '.tar' AS shard, 'part/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS key FROM documents WHERE doc_id < 200)
+    "tar_groups": f"""WITH d AS (SELECT doc_id, CAST(floor({hash01_sql("'tar'", "doc_id")} * (SELECT ceil(count(*) / {TAR_DOCS}.0) FROM documents)) AS INT) || '.tar' AS shard, 'part/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS key FROM documents)
         SELECT shard, key, 'json,txt' AS files, CAST(1 AS BIGINT) AS n FROM d UNION ALL SELECT shard, key, 'txt', 1 FROM d WHERE doc_id % 5 = 0""",
-    "caption_union": "SELECT doc_id, lower(substr(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' two' END) AS caption FROM documents WHERE doc_id < 100",
+    "caption_union": "SELECT doc_id, lower(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' two' END) AS caption FROM documents",
     "shard_names": """WITH n AS (SELECT i AS place, 'docs_shard_' || i || '_v2.jsonl' AS name FROM range(11) t(i) UNION ALL SELECT 11, 'a.txt' UNION ALL SELECT 12 + i, 'b' || lpad(CAST(8 + i AS VARCHAR), 2, '0') || '.txt' FROM range(4) t(i)
         UNION ALL SELECT 16 + i, 'train_' || 2 + i || '.jsonl' FROM range(3) t(i)) SELECT CAST(place AS BIGINT) AS place, name FROM n""",
-    "metric_table": """SELECT lang || '_mean_chars' AS metric, round(avg(n_chars), 6) AS value FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang
-        UNION ALL SELECT lang || '_n', CAST(count(*) AS DOUBLE) FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang""",
+    "metric_table": """SELECT lang || '_mean_chars' AS metric, round(avg(n_chars), 6) AS value FROM documents GROUP BY lang
+        UNION ALL SELECT lang || '_n', CAST(count(*) AS DOUBLE) FROM documents GROUP BY lang""",
     "token_loss": f"""WITH {_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tokens)
         SELECT round(avg({hash01_sql('19', 'seq', 'pos')}), 9) AS loss FROM n WHERE NOT (nxt IS NULL OR nxt IN ({PAD}, {IMAGE}, {BOS}) OR (token = {BOS} AND nxt = {SOI}))""",
     "rank_gather": "SELECT 'VizWiz_val_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.jpg' AS image, lang AS answer FROM documents",

@@ -129,15 +129,15 @@ ORACLE_SQL: dict[str, str] = {
     "rerank_best": f"""WITH {_V}, s AS (SELECT c.vec_id AS caption, i.vec_id // 100 AS candidate, round(list_dot_product(i.e, c.e), 6) AS sim FROM v i JOIN v c ON c.vec_id = i.vec_id % 100 WHERE i.vec_id >= 100)
         SELECT caption, CAST(candidate AS BIGINT) AS candidate, sim FROM s QUALIFY row_number() OVER (PARTITION BY caption ORDER BY sim DESC, candidate) = 1""",
     "mean_vector": f"WITH {_V}, x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM v) SELECT CAST(dim AS BIGINT) AS dim, round(avg(x), 9) AS mean FROM x GROUP BY dim",
-    "covariance": f"WITH {_V} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(covar_samp(e[i + 1], e[j + 1]), 9) AS cov FROM v, range(8) a(i), range(8) b(j) WHERE i <= j GROUP BY i, j",
+    "covariance": f"WITH {_V} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(covar_samp(e[i + 1], e[j + 1]), 9) AS cov FROM v, range(64) a(i), range(64) b(j) WHERE i <= j GROUP BY i, j",
     "rank_metrics": f"""WITH {_REL}, t AS (SELECT rank FROM rel WHERE rel = 1.0)
         SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS r5, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 9) AS r10,
                round(avg(rank), 9) AS mean_rank, round(avg(1.0::DOUBLE / rank), 9) AS mrr FROM t""",
     "ndcg": f"""WITH {_REL}, k AS (SELECT *, count(*) FILTER (rel != 0) OVER (PARTITION BY query_id) AS k, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM rel)
         SELECT query_id, round(sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN ideal <= k THEN rel / log2(ideal + 1) ELSE 0 END), 0), 9) AS ndcg FROM k GROUP BY 1""",
     "sincos": "SELECT p AS pos, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN sin(p / pow(10000.0, i / 4.0)) ELSE cos(p / pow(10000.0, (i - 4) / 4.0)) END, 9) AS x FROM range(16) a(p), range(8) b(i)",
-    "logprob_score": f"WITH {_V} SELECT label, round(sum(e[label % 8 + 1] - ln(list_sum(list_transform(e[1:8], lambda x: exp(x))))), 6) AS score, count(*) AS n FROM v GROUP BY label",
-    "beam_topk": f"""WITH {_V}, f AS (SELECT vec_id // 4 AS batch, vec_id % 4 * 64 + generate_subscripts(e, 1) - 1 AS ix, unnest(e) AS x FROM v WHERE vec_id < 100),
+    "logprob_score": f"WITH {_V} SELECT label, round(sum(e[label + 1] - ln(list_sum(list_transform(e, lambda x: exp(x))))), 6) AS score, count(*) AS n FROM v GROUP BY label",
+    "beam_topk": f"""WITH {_V}, f AS (SELECT vec_id // 4 AS batch, vec_id % 4 * 64 + generate_subscripts(e, 1) - 1 AS ix, unnest(e) AS x FROM v),
         r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY x DESC, ix) AS rank FROM f)
         SELECT CAST(batch AS BIGINT) AS batch, rank, CAST(ix // 64 AS BIGINT) AS beam, ix % 64 AS token FROM r WHERE rank <= 8""",
     "pixel_levels": f"WITH {_V}, x AS (SELECT unnest(e) AS x FROM v) SELECT CAST(least(greatest(floor((x + 1) / 2 * 255 + 0.5), 0), 255) AS INT) AS level, count(*) AS n FROM x GROUP BY 1",
