@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays, boxes, text, vectors
-from weftline.functions.fixed_values import BOS, EOS, IMAGE, PAD, SOI, curly_contractions
+from weftline.functions.fixed_values import BOS, CURLY_CONTRACTIONS, EOS, IMAGE, PAD, SOI
 from weftline.functions.hashing import hash01
 
 
@@ -32,7 +32,7 @@ def test_punctuation(spark, said, want):
 
 
 def test_digits_articles(spark):
-    row = one(spark, text.process_digits_articles(F.lit("The Two dogs dont\tsee an  owl")), text.process_digits_articles(F.lit("dont Im"), curly_contractions()))
+    row = one(spark, text.process_digits_articles(F.lit("The Two dogs dont\tsee an  owl")), text.process_digits_articles(F.lit("dont Im"), CURLY_CONTRACTIONS))
     assert list(row) == ["2 dogs don't see owl", "don’t im"]
 
 

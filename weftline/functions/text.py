@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import ARTICLES, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION
+from .fixed_values import ARTICLES, CONTRACTIONS, END, IMAGE_START, IMAGE_TOKEN, NUMBER_WORDS, PUNCTUATION, SIDE_WORDS
 
 #: What Python's strip and split take as white space, for texts from JSON.
 _WS = r"[\s\x1c-\x1f\x85   -     　]"
@@ -97,12 +97,8 @@ def swap_sides(x: Column) -> Column:
     return F.replace(F.replace(held, F.lit("right"), F.lit("left")), F.lit("\x01"), F.lit("right"))
 
 
-#: Words that a random crop would make wrong.
-SIDE_WORDS = ("top", "bottom", "left", "right", "center", "middle", "side")
-
-
 def crop_allowed(x: Column) -> Column:
-    """Whether no side is spoken of."""
+    """Whether no side is spoken of, which a random crop would make wrong."""
     return ~x.rlike("|".join(SIDE_WORDS))
 
 
@@ -114,9 +110,6 @@ def template(pattern: str, **values: Column) -> Column:
     return strip(out)
 
 
-IMAGE_START, IMAGE_TOKEN, END = "<|beginofimage|>", "<|image|>", "</s>"
-
-
 def interleave(sentences: Column, has_image: Column, image_first: Column, n_tokens: int) -> Column:
     """Sentences joined by spaces, a marker block before or after those with an image, no spaces around blocks, an end mark."""
     block = IMAGE_START + IMAGE_TOKEN * n_tokens

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -127,19 +128,28 @@ def pack_images(samples: DataFrame, shard: str, order: str, ids: str, length: in
 def next_fit(df: DataFrame, shard: str, order: str, size: str, most: int) -> DataFrame:
     """(shard, order, size, bin): a new bin where the next row would pass `most` and the bin isn't empty (Q8).
 
-    A fold over the shard's sorted sizes inside the JVM; a shard is the sequential unit, as each bin's start
-    hangs on the one before.
+    Each bin's start hangs on the one before, so a shard is one sequential unit; shards run in parallel and
+    stream through the sorted partition, so a task holds one Arrow batch and two numbers, however many rows
+    a shard has. Null sizes count as nothing and share the bin that is open.
     """
-    rows = df.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<bigint>").alias("bins"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["fill"] + x["n"] > most) & (a["fill"] > 0)
-        bin_ = F.when(new, a["bin"] + 1).otherwise(a["bin"])
-        return F.struct(bin_.alias("bin"), F.when(new, x["n"]).otherwise(a["fill"] + x["n"]).alias("fill"), F.concat(a["bins"], F.array(bin_)).alias("bins"))
-
-    told = rows.select(shard, F.explode(F.arrays_zip(F.col("rows").alias("r"), F.aggregate("rows", start, step)["bins"].alias("b"))).alias("x"))
-    return told.select(shard, F.col("x.r.o").alias(order), F.col("x.r.n").alias(size), F.col("x.b").alias("bin"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (shard, order)}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fill, bin_, began = None, 0, 0, False
+        for batch in batches:
+            bins = np.empty(batch.num_rows, np.int64)
+            for k, (s, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if not began or s != at:
+                    at, fill, bin_, began = s, 0, 0, True
+                if fill and fill + (n or 0) > most:
+                    fill, bin_ = 0, bin_ + 1
+                fill += n or 0
+                bins[k] = bin_
+            yield pa.record_batch([*batch.columns, pa.array(bins)], names=["s", "o", "n", "bin"])
+
+    rows = df.select(F.col(shard).alias("s"), F.col(order).alias("o"), F.col(size).cast("long").alias("n")).repartition("s").sortWithinPartitions("s", "o")
+    out = rows.mapInArrow(run, f"s {kinds[shard]}, o {kinds[order]}, n bigint, bin bigint")
+    return out.select(F.col("s").alias(shard), F.col("o").alias(order), F.col("n").alias(size), "bin")
 
 
 def batches(df: DataFrame, shard: str, order: str, size: int, partial: bool = False) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .numbering import global_numbers
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -34,7 +35,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], one_to_one: bool = True) -> DataFrame:
     """Inner join after the reference's assertions: unique keys (both sides, or the right one), no missing partner.
 
-    The sides of a broken rule are counted in one job each, and ValueError says which rule broke.
+    The rules are checked by up to three jobs while the plan is built, each of which stops at the first row
+    that breaks it, and ValueError says which rule broke.
     """
     for side, df in (("left", left), ("right", right)):
         if (side == "right" or one_to_one) and duplicate_keys(df, keys).limit(1).count():
@@ -98,6 +100,6 @@ def with_followers(df: DataFrame, item: str, followers: str, *keep: str) -> Data
 
 def unique_counts(df: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
     """value, first_pos (from 0), n, inverse (dense rank from 0) of the distinct values."""
-    placed = df.select(value, (F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("pos"))
+    placed = global_numbers(df.select(value, *[o for o in order if o != value]), order, "pos")
     counts = placed.groupBy(value).agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-    return counts.withColumn("inverse", (F.dense_rank().over(W.orderBy(value)) - 1).cast("long"))
+    return global_numbers(counts, [value], "inverse")

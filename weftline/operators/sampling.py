@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.hashing import hash01
+from .numbering import global_numbers
 
 
 def source_counts(df: DataFrame, source: str) -> DataFrame:
@@ -77,7 +78,7 @@ def oversample(df: DataFrame, key: str, order: str, target: int, seed: int = 0)
     a draw needs equi-joins only and no cumulative sums in one place.
     """
     total = df.count()
-    keys = df.select(key).distinct().withColumn("_k", (F.row_number().over(W.orderBy(key)) - 1).cast("long"))
+    keys = global_numbers(df.select(key).distinct(), [key], "_k")
     n_keys = keys.count()
     rows = numbered(df, key, order).withColumn("_size", F.count("*").over(W.partitionBy(key)))
     draws = df.sparkSession.range(max(target - total, 0)).select(F.col("id").alias("draw"), (hash01(seed, F.col("id")) * n_keys).alias("_u"))
@@ -90,8 +91,8 @@ def oversample(df: DataFrame, key: str, order: str, target: int, seed: int = 0)
 def rank_slices(df: DataFrame, order: str, world: int) -> DataFrame:
     """df with rank: contiguous equal slices, the remainder goes."""
     per_rank = df.count() // world
-    rn = F.row_number().over(W.orderBy(order)) - 1
-    return df.withColumn("rank", F.floor(rn / max(per_rank, 1)).cast("long")).where(F.col("rank") < (world if per_rank else 0))
+    held = global_numbers(df, [order], "rank")
+    return held.withColumn("rank", F.floor(F.col("rank") / max(per_rank, 1)).cast("long")).where(F.col("rank") < (world if per_rank else 0))
 
 
 def strided(df: DataFrame, index: Column, world: int) -> DataFrame:
@@ -129,7 +130,7 @@ def k_of_group(df: DataFrame, group: str, key: str, k: int, seed: int = 0) -> Da
 def resampled(df: DataFrame, order: str, n: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """n draws with replacement (S13): (draw, row's columns)."""
     total = df.count()
-    rows = df.withColumn("_i", (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
+    rows = global_numbers(df, [order], "_i")
     draws = df.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"), F.floor(hash01(seed + epoch, F.col("id")) * total).alias("_i"))
     return draws.join(rows, "_i").drop("_i")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..functions.fixed_values import ARTICLES, CONTRACTIONS, NUMBER_WORDS, PUNCTUATION, curly_contractions
+from ..functions.fixed_values import ARTICLES, CONTRACTIONS, CURLY_CONTRACTIONS, NUMBER_WORDS, PUNCTUATION
 from ..functions.text import extract_answer, normalise_answer, process_digits_articles, process_punctuation, smart_join
 from ..operators import metrics
 from ..tables import table
@@ -35,7 +35,7 @@ def vqa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vizwiz_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second rule set: predictions always normalised, truths never."""
-    return metrics.vizwiz_scores(answers(spark, sf_dir), curly_contractions()).select("question_id", F.round("score", 9).alias("score"))
+    return metrics.vizwiz_scores(answers(spark, sf_dir), CURLY_CONTRACTIONS).select("question_id", F.round("score", 9).alias("score"))
 
 
 def answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ ORACLE_SQL: dict[str, str] = {
     "vqa_scores": f"WITH {_SCORES} SELECT question_id, round(score, 9) AS score FROM scores",
     "vqa_accuracy": f"""WITH {_SCORES} SELECT CASE WHEN grouping(question_type) = 0 THEN 'question_type' WHEN grouping(answer_type) = 0 THEN 'answer_type' ELSE 'overall' END AS facet,
         coalesce(question_type, answer_type) AS value, round(100 * avg(score), 2) AS accuracy, count(*) AS n FROM scores GROUP BY GROUPING SETS ((), (question_type), (answer_type))""",
-    "vizwiz_accuracy": f"""WITH {_ANSWERS}, said AS (SELECT question_id, {_NORMAL('c', curly_contractions())} AS p FROM (SELECT question_id, {_clean('e')} AS c FROM (SELECT question_id, {_extract('answer')} AS e FROM answers))),
+    "vizwiz_accuracy": f"""WITH {_ANSWERS}, said AS (SELECT question_id, {_NORMAL('c', CURLY_CONTRACTIONS)} AS p FROM (SELECT question_id, {_clean('e')} AS c FROM (SELECT question_id, {_extract('answer')} AS e FROM answers))),
         matched AS (SELECT question_id, count(*) FILTER (t = p) AS m, count(*) AS n FROM (SELECT question_id, unnest(truths) AS t FROM answers) JOIN said USING (question_id) GROUP BY 1)
         SELECT question_id, round({_LOO}, 9) AS score FROM matched""",
     "answer_rules": f"""WITH t AS (SELECT conv_id, turn, role, text || ' The Two dogs, dont 3.5 .5 5. (a-b) an' AS t FROM conversations)

@@ -35,6 +35,8 @@ def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Statistics or features computed once (K9)."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Statistics or features computed once (K9), under a folder named by the plan's hash: another input or
+    another computation gives another folder, never an older one's rows."""
+    place = f"{path.rstrip('/')}/{df.semanticHash() & 0xFFFFFFFF:08x}"
+    df.write.mode("ignore").parquet(place)
+    return df.sparkSession.read.parquet(place)

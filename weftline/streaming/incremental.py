@@ -21,25 +21,35 @@ def shard_stream(spark: SparkSession, path: str, schema: StructType | str, per_t
 
 
 def packed_stream(samples: DataFrame, shard: str, ids: str, order: str, length: int, n_image: int, max_images: int = -1, level: str = "image") -> DataFrame:
-    """(shard, seq, ids, is_truncated): a Packer a shard whose buffer is the state.
+    """(shard, seq, ids, is_truncated): a Packer a shard whose buffer is the state; the same sequences as the batch form.
 
-    Within a trigger samples go by `order`; as there is no end of input the tail stays in the state.
+    `order` is a sample's place in its shard, from 0 without gaps. Whatever order files and triggers bring,
+    a sample enters the packer when all before it have: one that comes early waits in the state, one that
+    comes again is left out. As there is no end of input, the tail stays in the state.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, seq = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        packer = Packer(length, n_image, max_images, level, tokens=np.array(buffer, np.int64))
-        out = []
-        for sample in pd.concat(list(frames)).sort_values("o")["ids"]:
-            for ids_, cut in packer.add(np.asarray(sample)):
-                out.append((key[0], seq, ids_.tolist(), cut))
-                seq += 1
-        state.update((packer.tokens.tolist(), seq))
-        yield pd.DataFrame(out, columns=["s", "seq", "ids", "is_truncated"])
+        buffer, seq, due, places, early = state.get if state.exists else ([], 0, 0, [], [])
+        packer = Packer(length, n_image, max_images, level, tokens=np.array(list(buffer), np.int64))
+        waiting = dict(zip(places, early, strict=True))
+        for frame in frames:
+            out = []
+            for place, sample in zip(frame["o"].tolist(), frame["ids"], strict=True):
+                if place >= due:
+                    waiting.setdefault(place, sample)
+                while due in waiting:
+                    for ids_, cut in packer.add(np.asarray(waiting.pop(due), np.int64)):
+                        out.append((key[0], seq, ids_.tolist(), cut))
+                        seq += 1
+                    due += 1
+            yield pd.DataFrame(out, columns=["s", "seq", "ids", "is_truncated"])
+        held = sorted(waiting)
+        state.update((packer.tokens.tolist(), seq, due, held, [[int(t) for t in waiting[p]] for p in held]))
 
     kind = samples.schema[shard].dataType.simpleString()
-    rows = samples.selectExpr(f"`{shard}` AS s", f"`{order}` AS o", f"CAST(`{ids}` AS array<bigint>) AS ids")
-    out = rows.groupBy("s").applyInPandasWithState(run, f"s {kind}, seq bigint, ids array<bigint>, is_truncated int", "buffer array<bigint>, seq bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = samples.selectExpr(f"`{shard}` AS s", f"CAST(`{order}` AS bigint) AS o", f"CAST(`{ids}` AS array<bigint>) AS ids")
+    state = "buffer array<bigint>, seq bigint, due bigint, places array<bigint>, early array<array<bigint>>"
+    out = rows.groupBy("s").applyInPandasWithState(run, f"s {kind}, seq bigint, ids array<bigint>, is_truncated int", state, "append", GroupStateTimeout.NoTimeout)
     return out.withColumnRenamed("s", shard)
 
 
