@@ -4,8 +4,9 @@ Some operators need, for every feature of every document (an n-gram, a window),
 corpus. Shuffling a row for each feature would cost many times the text. Here documents are packed
 into blocks of bounded size, and a block sends, for each stretch of the hash range, one compressed
 list of its distinct features in ascending order; the totals come back in the same order, without the
-features. A feature is sent once a block however often it occurs, hash stretches are equally full, and
-a group holds a bounded number of entries, so no key is hot and no group unbounded.
+features. A feature is sent once a block however often it occurs, and hash stretches are equally full and
+as many as bound a group to about GROUP_ENTRIES entries at any size, besides those of its commonest
+feature, one a block; blocks grow with the corpus so that there are a few million of them at 100 TB.
 
 Blocks are written to the shared folder once: their bounds are data then, the same for every later
 pass and retry.
@@ -32,8 +33,10 @@ REPLY_DDL = "block bigint, part int, payload binary, n_distinct bigint, n_all bi
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, n_words, payload): documents in order of their input split, about block_bytes of text a block."""
+def pack(docs: DataFrame, id_col: str, text_col: str, least_bytes: int) -> DataFrame:
+    """(block, n_words, payload): documents in order of their input split, about block_bytes_for(all text) a block."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    block_bytes = block_bytes_for(total, least_bytes)
     schema = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +136,20 @@ def distinct(high: np.ndarray, low: np.ndarray | None = None, weight: np.ndarray
 def parts_for(entries: int) -> int:
     """Stretches of the hash range for so many entries of a kind, a power of two."""
     parts = 1
-    while parts * GROUP_ENTRIES < entries and parts < 1 << 15:
+    while parts * GROUP_ENTRIES < entries:
         parts *= 2
     return parts
 
 
+def block_bytes_for(total: int, least: int, most: int = 32 << 20) -> int:
+    """Text in a block: `least`, with a large corpus as much as makes a million blocks, but no more than `most`.
+
+    A key has one entry a block at most, so fewer blocks bound what the commonest key adds to its stretch, and
+    larger ones leave more entries to a list where there are many stretches.
+    """
+    return max(least, min(most, total >> 20))
+
+
 Extract = Callable[[list[int | None], list[bytes], list[bytes]], list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]]
 
 
@@ -157,10 +169,10 @@ def totals(blocks: DataFrame, extract: Extract, entries: int, kinds: int, recurs
     def lists(block: int, payload: bytes, earlier: list[bytes]) -> pa.Table:
         rows = []
         for kind, (high, low, counts) in enumerate(extract(*unpack(payload), earlier)):
-            cuts = np.searchsorted(high >> shift, np.arange(parts + 1, dtype=np.uint64)) if shift is not None else np.array([0, len(high)])
-            for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    rows.append((block, kind * parts + p, send(high[a:b], None if low is None else low[a:b], counts[a:b])))
+            stretch = (high >> shift).astype(np.int64) if shift is not None else np.zeros(len(high), np.int64)
+            cuts = np.append(np.flatnonzero(np.diff(stretch, prepend=-1)), len(high))  # only stretches that the block has
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows.append((block, kind * parts + int(stretch[a]), send(high[a:b], None if low is None else low[a:b], counts[a:b])))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent, strict=True)], schema=sent)
 

@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,14 @@ def _own_root() -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent, as in a plain local session, a temporary folder is made.
+    Only where the setting is absent in a local session, whose driver and executors are one process, a
+    temporary folder is made. On a cluster without the setting this raises: executors would each write to
+    a disk of their own, and what is read back would lack rows without a word.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or _own_root()
     path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
     atexit.register(_removed, spark, path)
     return path
@@ -56,6 +63,23 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+#: A key is hot if more than one in so many rows have it; so there are fewer hot keys than this.
+HOT_SHARE = 1_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key and in `weight` how many of left's `total` rows have it.
+
+    The rows of hot keys stay where they are and meet right's row by a broadcast, of fewer than HOT_SHARE
+    rows by construction; all others are shuffled by key. left is read twice, so it should be written.
+    """
+    is_hot = F.col(weight) > max(total // HOT_SHARE, 1)
+    rest = [c for c in right.columns if c not in (*keys, weight)]
+    hot, cold = (right.where(x).select(*keys, *rest) for x in (is_hot, ~is_hot))
+    without = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(without.join(cold, keys))
+
+
 def row_struct(df: DataFrame) -> Column:
     """All columns of df as one struct, so that working columns can't clash with theirs."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
@@ -86,8 +110,18 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def ids_and_texts(batch: pa.RecordBatch) -> Iterator[tuple[object, str]]:
-    """(first column, second column as str, null as empty) of a batch, converted 512 rows at a time."""
-    for at in range(0, batch.num_rows, 512):
-        part = batch.slice(at, 512)
+    """(first column, second column as str, null as empty) of a batch, converted a few rows at a time."""
+    for part in slices(batch, 1):
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             yield key, text or ""
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows at most and about so many bytes of a text column (one row may exceed it)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to

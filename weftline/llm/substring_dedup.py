@@ -35,9 +35,6 @@ BLOCK_BYTES = 4 << 20
 #: Phrases in one automaton: about 2 million nodes at most for common words.
 PHRASES = 8_000
 
-#: Replies to the first question come first when both are sorted by part.
-_SECOND = 1 << 20
-
 
 class Words:
     """Words of a block's documents, in a row, and the windows in them."""
@@ -148,7 +145,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     first = bl.totals(packed, anchors, n_words // 8, 1, True)
     second = bl.totals(packed, windows, n_words // 2, 1, True, first)
-    both = first.select("block", "part", "payload").union(second.select("block", (F.col("part") + _SECOND).alias("part"), "payload"))
+    late_parts = bl.parts_for(n_words // 8)  # replies to the first question come first when both are sorted by part
+    both = first.select("block", "part", "payload").union(second.select("block", (F.col("part") + late_parts).alias("part"), "payload"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def cleaned(block_rows: pa.Table, reply_rows: pa.Table) -> pa.Table:
@@ -158,7 +156,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         words = Words(texts, window, phrase)
         parts = reply_rows.column("part").to_pylist()
         payloads = reply_rows.column("payload")
-        of = lambda late: _said([payloads[i].as_py() for i in sorted(range(len(parts)), key=parts.__getitem__) if (parts[i] >= _SECOND) == late])
+        of = lambda late: _said([payloads[i].as_py() for i in sorted(range(len(parts)), key=parts.__getitem__) if (parts[i] >= late_parts) == late])
         at = words.candidates(of(False)) if len(words.windows) else words.windows
         *_, place = bl.distinct(*words.keys(at))
         gone = covered(words, phrases_of(words, at[of(True)[place]] if len(at) else at), phrases_at_once)
