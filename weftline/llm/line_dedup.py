@@ -3,17 +3,24 @@
 A document is the sequence of its lines that have a word, split at \\n. Windows are all stretches of `run`
 such lines, all shorter ones of more than `words` words, and a document of fewer than `run` lines as a
 whole: equal stretches of whole lines go if they have `run` lines or more than `words` words, and copies
-of short documents go; a short line alone stays. In every window of `run` lines the one with the smallest
-hash is the window's fingerprint, so two equal stretches of `run` lines or more select a common
-fingerprint; a shorter window is its own. Fingerprints that were selected more than once are joined
-with their positions and extended both ways to the windows that selected them; windows that touch
-merge into runs. A line goes where a window over it begins with the same lines as a window at an
-earlier place: smaller doc_id (null first), then smaller MD5 of the text, then earlier line. So the
-first copy of a run stays, and every later one is deleted, within a document too.
+of short documents go; a short line alone stays.
+
+1. Winnowing. In every window of `run` lines the line with the smallest hash is selected (the leftmost of
+   equal ones), so two equal stretches of `run` lines or more select a common line; a shorter window is
+   its own fingerprint. A row leaves the document for each selected place, not for each window.
+2. Positions. Fingerprints that were selected at one place only can't be part of a repeat and are dropped;
+   the others' places go back to their documents' line hashes.
+3. Extension. There each place is extended both ways, to the windows that selected it. Windows that begin
+   with the same lines as one at an earlier place mark their lines; marks that touch make up the runs.
+
+Earlier means: smaller doc_id (null first), then smaller MD5 of the text, then earlier line. So the first
+copy of a run stays, and every later one is deleted, within a document too. Counts of fingerprints and of
+windows are added up before they are shuffled, and rows of hot ones meet them by a broadcast of bounded
+size (common.hot_join), so a line that a third of all documents have fills no task.
 
 Defined cases: null text has no lines and stays null; lines without a word stay; rows equal in id and
 text are one document twice and get the same result; an empty table gives an empty result; input
-columns of any name are carried in a struct.
+columns of any name are carried in a struct. Lines and windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,42 +28,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, row_struct, written
+from .common import WORD, hot_join, row_struct, written
 
 RUN = 3
 WORDS = 50
 
 
-def winnowed(rows: DataFrame, run: int, words: int = WORDS) -> DataFrame:
-    """(doc, i, k, h, fresh, w): for each window of k lines from i on its fingerprint's hash, whether the window
-    before chose another place, and the hash of the whole window."""
+def line_hashes(rows: DataFrame) -> DataFrame:
+    """(doc, c, n): hashes and numbers of words of each document's lines with a word; documents that have some, once each."""
     hashed = F.filter(F.transform(F.split("text", "\n"), lambda line: F.struct(F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0)
-    lines = rows.select("doc", hashed.alias("x")).where(F.size("x") > 0).select("doc", F.transform("x", lambda x: x["h"]).alias("c"), F.transform("x", lambda x: x["n"]).alias("n"))
+    held = rows.select("doc", hashed.alias("x")).where(F.size("x") > 0)
+    return held.select("doc", F.transform("x", lambda x: x["h"]).alias("c"), F.transform("x", lambda x: x["n"]).alias("n"))
+
+
+def _selected(i: Column, run: int) -> Column:
+    """(h, p) of the line that the window from i on selects."""
+    return F.array_min(F.transform(F.slice("c", i + 1, run), lambda h, o: F.struct(h.alias("h"), (o + i).alias("p"))))
+
+
+def _window_hash(i: Column, k: int) -> Column:
+    return F.xxhash64(F.lit(k), *[F.get("c", i + j) for j in range(k)])
+
+
+def fingerprints(lines: DataFrame, run: int, words: int = WORDS) -> DataFrame:
+    """(doc, p, k, h): a row for each place that some window selects; k: lines of the windows."""
     size = F.size("c")
-    own = lambda i: F.array_min(F.transform(F.slice("c", i + 1, run), lambda h, o: F.struct(h.alias("h"), (o + i).alias("p"))))
-    whole = lambda i, k: F.xxhash64(*[F.get("c", i + j) for j in range(k)])
-    window = F.transform(F.sequence(F.lit(0), size - run), lambda i: F.struct(i.alias("i"), own(i).alias("f"), whole(i, run).alias("w")))
-    found = lines.select("doc", "c", "n", F.when(size >= run, window).alias("v"))
-    part = lambda i, k, h, fresh, w: F.struct(i.alias("i"), F.lit(k).alias("k"), h.alias("h"), fresh.alias("fresh"), w.alias("w"))
-    marked = F.transform("v", lambda x, i: part(x["i"], run, x["f"]["h"], F.coalesce(F.get("v", i - 1)["f"]["p"] != x["f"]["p"], F.lit(True)), x["w"]))
+    kind = "array<struct<p:int,k:int,h:bigint>>"
+    selected = F.transform(F.sequence(F.lit(0), size - run), lambda i: _selected(i, run))
+    # minima of sliding windows only move on, so a place is new where it differs from the window before's
+    new = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1)["p"] != x["p"], F.lit(True)))
+    winnowed = F.transform(new, lambda x: F.struct(x["p"].alias("p"), F.lit(run).alias("k"), x["h"].alias("h")))
 
     def short(k: int) -> Column:
         alone = lambda i: (sum(F.get("n", i + j) for j in range(k)) > words) | ((size == k) & (size < run))
         starts = F.when(size >= k, F.filter(F.sequence(F.lit(0), size - k), alone))
-        return F.transform(starts, lambda i: part(i, k, F.xxhash64(F.lit(k), whole(i, k)), F.lit(True), whole(i, k)))
+        return F.transform(starts, lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), _window_hash(i, k).alias("h")))
+
+    found = lines.select("doc", "c", "n", F.when(size >= run, selected).alias("s"))
+    all_places = [F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (winnowed, *[short(k) for k in range(1, run)])]
+    return found.select("doc", F.explode(F.concat(*all_places)).alias("x")).select("doc", "x.p", "x.k", "x.h")
+
 
-    all_windows = [F.coalesce(x, F.array().cast("array<struct<i:int,k:int,h:bigint,fresh:boolean,w:bigint>>")) for x in (marked, *[short(k) for k in range(1, run)])]
-    return found.select("doc", F.explode(F.concat(*all_windows)).alias("x")).select("doc", "x.i", "x.k", "x.h", "x.fresh", "x.w")
+def extended(lines: DataFrame, places: DataFrame, run: int) -> DataFrame:
+    """(doc, i, k, w): the windows that selected the places, and their hashes."""
+    known = lines.join(places.groupBy("doc").agg(F.collect_list(F.struct("p", "k")).alias("at")).withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "c", F.explode("at").alias("at"))
+    around = F.sequence(F.greatest(F.col("at.p") - run + 1, F.lit(0)), F.least(F.col("at.p"), F.size("c") - run))
+    starts = F.when(F.col("at.k") < run, F.array("at.p")).otherwise(F.filter(around, lambda i: _selected(i, run)["p"] == F.col("at.p")))
+    whole = F.coalesce(*[F.when(F.col("at.k") == k, _window_hash(F.col("i"), k)) for k in range(1, run + 1)])
+    return known.select("doc", "c", "at", F.explode(starts).alias("i")).select("doc", "i", "at.k", whole.alias("w"))
 
 
 def doomed(rows: DataFrame, run: int) -> DataFrame:
     """(doc, gone): of each document that repeats something, the places among its lines with a word."""
-    windows = written(winnowed(rows, run))
-    recurring = windows.groupBy("h").agg(F.sum(F.col("fresh").cast("long")).alias("n")).where("n > 1").select("h")
-    extended = windows.join(recurring, "h", "left_semi").select("doc", "i", "k", "h", "w")
+    lines = written(line_hashes(rows))
+    found = written(fingerprints(lines, run))
+    counts = found.groupBy("k", "h").agg(F.count("*").alias("times")).where("times > 1")
+    recurring = hot_join(found, counts, ["k", "h"], "times", found.count()).select("doc", "p", "k")
+    windows = written(extended(lines, recurring, run))
     place = F.struct("doc", "i")
-    first = extended.groupBy("h", "w", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "w", "k", "first")
-    later = extended.join(first, ["h", "w", "k"]).where(place != F.col("first")).select("doc", "i", "k")
+    first = windows.groupBy("k", "w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("times")).where("first != last").select("k", "w", "first", "times")
+    later = hot_join(windows, first, ["k", "w"], "times", windows.count()).where(place != F.col("first")).select("doc", "i", "k")
     return later.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", F.col("i") + F.col("k") - 1)))).alias("gone"))
 
 
@@ -87,17 +118,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+_KEYS = " UNION ALL ".join(
+    f"SELECT doc_id, i, {k} AS k, {' || chr(10) || '.join(['line', *[f'lead(line, {j}) OVER o' for j in range(1, k)]])} AS key, {' + '.join(['n', *[f'lead(n, {j}) OVER o' for j in range(1, k)]])} AS n, size FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)"
+    for k in range(1, RUN + 1)
+)
+#: The same without fingerprints: every window against all others by its text.
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS j
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-worded AS (SELECT doc_id, line, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-windows AS (
-  SELECT doc_id, i, {", ".join(f"lead(line, {k}) OVER o AS l{k}" if k else "line AS l0" for k in range(RUN))} FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-later AS (
-  SELECT doc_id, i FROM windows WHERE l{RUN - 1} IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {", ".join(f"l{k}" for k in range(RUN))} ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range({RUN}) AS r(k)),
+worded AS (SELECT doc_id, line, j, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, count(*) OVER (PARTITION BY doc_id) AS size
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+windows AS (SELECT * FROM ({_KEYS}) WHERE i + k - 1 <= size AND (k = {RUN} OR n > {WORDS} OR (k = size AND size < {RUN}))),
+later AS (SELECT doc_id, i, k FROM windows QUALIFY row_number() OVER (PARTITION BY k, key ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + s AS i FROM later, range({RUN}) AS r(s) WHERE s < k),
 kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.j) AS kept FROM lines l
   LEFT JOIN worded w USING (doc_id, j) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY l.doc_id),
