@@ -38,10 +38,15 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-_MIXED = re.compile(r"[0-9]")
+#: A candidate of the network has so many characters at least, a digit and a letter among them; words without a
+#: digit are never read.
+LEAST_CANDIDATE = 16
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % LEAST_CANDIDATE)
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 BEFORE, AFTER = 24, 8
+#: A longer candidate is read in stretches of so many characters.
+STRETCH = 4_096
 WIDTH, FILTERS, DEPTH = 5, 24, 8
 
 
@@ -56,11 +61,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens of 16 characters or more, with a digit and a letter in them."""
+    """Tokens of LEAST_CANDIDATE characters or more, with a digit and a letter in them."""
     out = []
     for m in _TOKEN.finditer(text):
-        token = m[0]
-        if _MIXED.search(token) and any(c.isalpha() for c in token):
+        if _DIGIT.search(text, *m.span()) and _LETTER.search(text, *m.span()):
             out.append(m.span())
     return out
 
@@ -156,10 +160,31 @@ class Net:
         h = np.concatenate([np.take_along_axis(a, top[:, None], 1)[:, 0], a.sum(1) / count], 1)
         return h @ w["out"] + w["off"], (cols, a, top, count, h)
 
+    def long_logit(self, text: str, a: int, b: int) -> float:
+        """forward() for one candidate of any length: the same largest and mean activations, taken stretch by stretch."""
+        w, half = self.weights, WIDTH // 2
+        lo, hi = max(0, a - BEFORE), min(len(text), b + AFTER)
+        top, total = np.zeros(FILTERS), np.zeros(FILTERS)
+        for at in range(lo, hi, STRETCH):
+            to = min(at + STRETCH, hi)
+            place = np.arange(at - half, to + half)
+            inside = (place >= lo) & (place < hi)
+            raw = np.full(len(place), 0, np.uint32)
+            raw[inside] = np.frombuffer(text[max(at - half, lo) : min(to + half, hi)].encode("utf-32-le", "replace"), "<u4")
+            chars = np.where((raw >= 32) & (raw < 127), raw.astype(np.int64) - 30, 1)
+            x = np.concatenate([w["embed"][chars], ((place >= a) & (place < b))[:, None]], 1) * inside[:, None]
+            n = to - at
+            act = np.maximum(np.concatenate([x[k : k + n] for k in range(WIDTH)], 1) @ w["conv"] + w["bias"], 0)
+            top, total = np.maximum(top, act.max(0)), total + act.sum(0, dtype=np.float64)
+        return float(np.concatenate([top, total / (hi - lo)]) @ w["out"] + w["off"][0])
+
     def probability(self, found: list[tuple[str, int, int]], at_once: int = 40_000) -> np.ndarray:
         """Calibrated, for candidates of like length together, so that one long one pads no others."""
         out = np.zeros(len(found))
-        order = sorted(range(len(found)), key=lambda i: found[i][2] - found[i][1])
+        for i, (text, a, b) in enumerate(found):
+            if b - a > STRETCH:
+                out[i] = self.long_logit(text, a, b)
+        order = sorted((i for i, (_, a, b) in enumerate(found) if b - a <= STRETCH), key=lambda i: found[i][2] - found[i][1])
         at = 0
         while at < len(order):
             to = at + 1
