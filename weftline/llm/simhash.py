@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import restored, row_struct, written
+from .common import hot_join, restored, row_struct, written
 
 SHINGLE = 3
 SEED = 42
@@ -182,19 +182,22 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of every node that has a link; root: the smallest node of its component.
 
     Large-star hangs a node's larger neighbours on the smallest of its neighbourhood, small-star its
-    smaller ones; both keep the components, and alternating them ends in stars. Each round is written
-    to the shared folder, so no lineage grows, and only two sums reach the driver.
+    smaller ones; both keep the components, and alternating them ends in stars. Least neighbours are found
+    by partial aggregation, and the edges of a node with a thousandth of them meet its least one by a
+    broadcast, so a star's centre fills no task. Each round is written to the shared folder, so no lineage
+    grows, and only two sums reach the driver.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"))
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        edges = written(small.select("v", "m").where("v != m").union(lowest).toDF("u", "v").distinct())
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
+        large = hot_join(both, lowest, ["u"], "times", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small = hot_join(large, lowest, ["u"], "times", 2 * n)
+        edges = written(small.select("v", "m").where("v != m").union(lowest.select("u", "m")).toDF("u", "v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = state[0]
         if state == before:
             break
         before = state
@@ -211,12 +214,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def rooted(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows (doc_id, fp, digest) with the root and the component_id that the links of their fingerprints give."""
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
+    n_rows, n_distinct = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     roots = written(components(linked(distinct)))
-    of_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(of_root.join(named, "root").select("fp", "root", "component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "digest", "root", "component_id")
+    of_root = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")))
+    named = of_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of_fp = written(hot_join(of_root, named, ["root"], "members", n_distinct).select("fp", "root", "component_id", "times"))
+    return hot_join(rows, of_fp, ["fp"], "times", n_rows).select("doc_id", "fp", "digest", "root", "component_id")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
