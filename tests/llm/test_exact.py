@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from weftline.llm import blocks, byte_bpe, decontaminate, line_dedup, lm_score, pii, quality, secrets, sharding, simhash, substring_dedup
+from weftline.llm import blocks, byte_bpe, common, decontaminate, line_dedup, lm_score, pii, quality, secrets, sharding, simhash, substring_dedup
 from weftline.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,6 +92,20 @@ def test_net_on_held_out_findings():
     assert (p[gold == 0] >= net.threshold).mean() <= 0.05
 
 
+def test_net_reads_long_candidates_in_stretches():
+    net = secrets.default_net()
+    rng = np.random.default_rng(3)
+    for n in (5_000, 4_097, 20_001):
+        text = "key = " + "".join(rng.choice(list("abcXYZ0123456789+/"), n)) + "\nnext"
+        want = net.forward(*net.inputs([(text, 6, 6 + n)]))[0][0]
+        assert net.long_logit(text, 6, 6 + n) == pytest.approx(want, abs=1e-4)
+    text = "a1" * 10_000_000
+    tracemalloc.start()
+    assert 0 <= net.probability([(text, 0, len(text))])[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
 def test_threshold_keeps_recall():
     p, gold = np.linspace(0, 1, 200), np.ones(200)
     for recall in (0.5, 0.9, 0.99, 1.0):
@@ -230,11 +246,12 @@ def test_line_dedup(docs):
     seen, gone = set(), defaultdict(set)
     for r in unique:
         lines = [x for x in r[1].split("\n") if WORD.search(x)]
-        for i in range(len(lines) - 2):
-            window = tuple(lines[i : i + 3])
-            if window in seen:
-                gone[r] |= {i, i + 1, i + 2}
-            seen.add(window)
+        for i in range(len(lines)):
+            for k in range(1, min(3, len(lines) - i) + 1):
+                window = tuple(lines[i : i + k])
+                if k == 3 or sum(len(WORD.findall(x)) for x in window) > 50 or k == len(lines):
+                    gone[r] |= set(range(i, i + k)) if window in seen else set()
+                    seen.add(window)
     want = []
     for r in rows:
         kept, k = [], 0
@@ -286,11 +303,18 @@ def test_block_max_bounds_prune_nothing():
     assert set(zip(p.tolist(), i.tolist(), strict=True)) == want and len(s) == len(want)
 
 
-def test_items_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 60)
-    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}") for i in range(6)], "item_id bigint, text string")
-    docs = spark.createDataFrame([(i, f"x y alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} z") for i in range(6)], "doc_id bigint, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.digests(docs, items).collect()} == {(i, i) for i in range(6)}
+@pytest.mark.parametrize("size", [60, 300, 5_000])
+def test_shards_change_nothing(spark, monkeypatch, size):
+    """Items that share words: pairs, scores and overlaps are those of one shard, however they are dealt."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(50)]
+    text = lambda n: " ".join(words[int(i)] for i in rng.zipf(1.3, n) % 50)
+    items = [(i, text(int(rng.integers(6, 70))) + (". " + text(6) if i % 2 else "")) for i in range(40)] + [(40, None), (41, "..."), (42, "w1")]
+    docs = [(i, text(20) + " " + items[i % 40][1] + " " + text(int(rng.integers(5, 120)))) for i in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = Counter(map(tuple, decontaminate.digests(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+    assert Counter(map(tuple, decontaminate.digests(d, b).collect())) == one and len(one) >= 30
 
 
 def test_lm_counts(docs, rows):
@@ -300,6 +324,58 @@ def test_lm_counts(docs, rows):
     assert all(np.isfinite(r.score) and r.score <= 0 for r in got)
 
 
+def test_lm_scores(docs, rows):
+    """The model's score by dictionaries: counts, deleted estimates, the mixture learned a cell at a time, all texts."""
+    tokens = [(lm_score.is_held_out(i), t.encode().lower().split() + [None]) for i, t in rows]
+    one, two, before = Counter(), Counter(), Counter()
+    for held, words in tokens:
+        for v, w in zip([None, *words], words, strict=False):
+            if not held:
+                one[w] += 1
+                two[v, w] += 1
+    total, v_plus = sum(one.values()), len(one) + 1
+    before = one  # a token's count as a context, the end's too
+    bucket = lambda c: min(int(np.log2(c)) + 1, lm_score.BUCKETS - 1) if c > 0 else 0
+    step = lambda x: min(int(-lm_score.FINE * np.log2(x)) + 1, 1023) if x > 0 else 0
+    cells = defaultdict(lambda: [0, 0.0, 0.0])
+    for held, words in tokens:
+        for v, w in zip([None, *words], words, strict=False):
+            if not held:
+                c = before[v] - 1
+                p2, p1 = (two[v, w] - 1) / c if c > 0 else 0.0, (one[w] - 1) / (total - 1)
+                cell = cells[bucket(c), step(p2), step(p1)]
+                cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] + p2, cell[2] + p1
+    weights = {b: [1 / 3] * 3 if b else [0.0, 0.5, 0.5] for b in range(lm_score.BUCKETS)}
+    for _ in range(lm_score.ITERATIONS):
+        sums = defaultdict(lambda: [0.0] * 3)
+        for (b, _, _), (n, s2, s1) in cells.items():
+            part = [x * p for x, p in zip(weights[b], (s2 / n, s1 / n, 1 / v_plus), strict=True)]
+            for k in range(3):
+                sums[b][k] += n * part[k] / max(sum(part), 1e-300)
+        weights |= {b: [x / sum(s) for x in s] for b, s in sums.items()}
+    seen = {b for b, _, _ in cells}
+    for b in range(1, lm_score.BUCKETS):
+        if b not in seen:
+            weights[b] = weights[b - 1] if b > 1 else [1 / 3] * 3
+    if 0 not in seen:
+        rest = [sum(weights[b][k] for b in range(1, lm_score.BUCKETS)) for k in (1, 2)]
+        weights[0] = [0.0, rest[0] / sum(rest), rest[1] / sum(rest)]
+    weights = {b: [x / sum(w) * (1 - 1e-6) for x in w] for b, w in weights.items()}
+
+    def score(words: list) -> float:
+        out = 0.0
+        for v, w in zip([None, *words], words, strict=False):
+            c = before[v]
+            a, u, z = weights[bucket(c)]
+            out += np.log10(a * (two[v, w] / c if c else 0.0) + u * one[w] / total + (z + 1e-6) / v_plus)
+        return out
+
+    want = sorted((str(i), score(w)) for (i, _), (_, w) in zip(rows, tokens, strict=True))
+    got = sorted((str(r.doc_id), r.score) for r in lm_score.score(docs, block_bytes=5_000).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-6, abs=1e-6)
+
+
 def test_lm_beats_the_base_on_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = [r for r in lm_score.score(docs).collect() if r.held_out]
@@ -372,6 +448,48 @@ def test_bpe_offsets_and_split_characters(spark):
     assert all(codec.token_bytes[i] in w for i, w in zip(np.frombuffer(r.ids, "<u4").tolist(), whole, strict=True))
 
 
+def test_many_stretches(docs, rows, monkeypatch):
+    """More stretches of the hash range than entries in most blocks: the same results, and bounded groups."""
+    monkeypatch.setattr(blocks, "GROUP_ENTRIES", 1)
+    assert blocks.parts_for(1 << 40) == 1 << 40
+    got = substring_dedup.dedup(docs, block_bytes=20_000).collect()
+    same([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got], [(i, *w) for (i, _), w in zip(rows, substring_dedup.brute_force([t for _, t in rows]), strict=True)])
+
+
+def test_block_sizes():
+    assert blocks.block_bytes_for(10**9, 4 << 20) == 4 << 20
+    assert blocks.block_bytes_for(10**14, 4 << 20) == 32 << 20
+
+
+def test_no_scratch_without_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="share"):
+        common.scratch_dir(Cluster)
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(7)), pa.array(["a" * 10, None, "b" * 300, "", "c" * 50, "d" * 50, "e"])], names=["k", "t"])
+    parts = list(common.slices(batch, 1, rows=3, size=100))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(7))
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100) for p in parts)
+
+
+def test_components_of_a_large_star(spark):
+    n = 100_000
+    star = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    chain = spark.range(n, n + 40).select("id", (F.col("id") + 1).alias("b")).toDF("a", "b")
+    roots = simhash.components(star.unionByName(chain)).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in roots} == {0: n, n: 41}
+
+
 def test_block_lists_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 1000):
