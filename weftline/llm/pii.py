@@ -25,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import labelled
 from .common import bounded, ids_and_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("person", "ssn", "address")
-LABELS = ("O", "email", "phone", "person", "ssn", "address")
+#: "local" is what stands before the "at" of a written-out mail address, so that none begins with it.
+LABELS = ("O", "email", "phone", "person", "ssn", "address", "local")
+SPANS = {"local": "email"}
 KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin where a run of digits begins, as the groups are greedy
 _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
@@ -79,7 +83,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Words whose identity counts as a feature; all others are known by shape alone.
 CUES = frozenset(
     "mr mrs ms dr prof name named contact signed born call phone tel telephone mobile fax cell ssn social security number no "
-    "street st avenue ave road rd lane ln drive boulevard blvd way court apt suite at dot mail email e-mail write address lives".split()
+    "street st avenue ave road rd lane ln drive boulevard blvd way court apt suite at (at) [at] dot (dot) [dot] mail email e-mail write address lives "
+    "is am i my this dear by author patient attn regards sincerely thanks hello customer tenant employee ring text line reach "
+    "ship send deliver visit billing com org net".split()
 )
 OFFSETS = (-2, -1, 0, 1, 2)
 DIMENSIONS = 1 << 13
@@ -137,6 +143,7 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
     """Sentences and the label of each word, by rule: invented words around invented personal data."""
     rng = random.Random(seed)
     syllables = "an on er th re in ou ti le de en is la ca mo ri so ver ich que ion el ar to ne".split()
+    cues = sorted(c for c in CUES if c.isalpha())
     small = "the of and to in is that for it as was with be by on la de les der und el".split()
 
     def word(cap: float = 0.0) -> str:
@@ -151,12 +158,30 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
         return "".join(rng.choice("0123456789") for _ in range(n))
 
     def name() -> list[str]:
-        return [("".join(rng.choice(syllables) for _ in range(rng.randint(2, 3)))).capitalize() for _ in range(rng.randint(1, 2))]
+        part = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 3))).capitalize()
+        last = rng.choice([part, part, part, lambda: "Mc" + part(), lambda: "O'" + part(), lambda: f"{part()}-{part()}"])
+        return rng.choice([[part()], [part(), last()], [part(), last()], [part(), rng.choice("ABCDEFGHJ") + ".", last()]])
+
+    def phone() -> list[str]:
+        """Groups of digits, seven to eleven of them, in whatever way they are set apart."""
+        first = rng.choice([f"({digits(3)})", f"(0{digits(rng.randint(1, 4))})", f"0{digits(rng.randint(1, 4))}", digits(3), "1-" + digits(3)])
+        rest = rng.choice([(3, 4), (3, 4), (4, 4), (2, 2, 2, 2), (3, 3), (6,), (7,), (3, 3, 2), (2, 2, 2)])
+        mark = rng.choice("  --./")
+        groups = mark.join(digits(n) for n in rest)
+        joint = " " if first.endswith(")") else rng.choice([mark, " ", "-", "/", "/"])
+        return rng.choice([first + joint + groups, first + joint + groups, first + joint + groups, f"{digits(3)}{rng.choice('-. ')}{digits(4)}"]).split()
 
     def noise() -> list[str]:
         kind = rng.random()
         if kind < 0.1:
-            return [rng.choice([word(0.5), "at", "At", "at.", "St", "St.", "Dr.", "call", "dot", "no", "la"])] * rng.randint(3, 40)
+            cue = rng.choice(cues)
+            again = rng.choice([word(0.5), cue, cue.capitalize(), cue + ".", "St.", "Dr.", "la"])
+            return [again] * rng.randint(3, 40)
+        if kind < 0.14:  # cue words at the ends and beginnings of sentences
+            cue = rng.choice(cues)
+            return [rng.choice([cue, cue.capitalize()]) + rng.choice(".,!"), word(1.0) + rng.choice(["", ".", ","]), rng.choice(cues).capitalize(), word()]
+        if kind < 0.18:
+            return [rng.choice(["no.", "part", "serial", "order", "isbn", "version", "page", "of", "total", "in"]), rng.choice("-. ").join(digits(rng.randint(1, 5)) for _ in range(rng.randint(1, 5)))]
         if kind < 0.25:
             return [digits(rng.randint(1, 6))]
         if kind < 0.4:
@@ -170,19 +195,26 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
         return [rng.choice(["number", "street", "name", "call", "at", "way", "no", "born", "court"]), word(), digits(3)]
 
     def entity() -> tuple[list[str], list[str], int]:
-        kind = rng.choice(LABELS[1:])
+        kind = rng.choice(LABELS[1:-1])
         if kind == "person":
-            return [rng.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "name:", "Contact:", "Signed:"])], name(), LABELS.index(kind)
+            title = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Mr", "Mrs", "Ms", "Dr", "Prof"]
+            cue = rng.choice([*[[t] for t in title], ["name:"], ["Name:"], ["Contact:"], ["contact"], ["Signed:"], ["Attn:"], ["Author:"], ["my", "name", "is"], ["Dear", rng.choice(title)], ["named"],
+                              ["I", "am"], ["This", "is"], ["by"], ["regards,"], ["Thanks,"], ["sincerely,"], ["Patient", "name:"], ["Patient:"], ["ask", "for"]])
+            return cue, name(), LABELS.index(kind)
         if kind == "phone":
-            own = rng.choice([[f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"{digits(3)}.{digits(3)}.{digits(4)}"]])
-            return rng.choice([["call"], ["phone:"], ["tel"], ["Fax:"], []]), own, LABELS.index(kind)
+            cue = rng.choice([["call"], ["Call"], ["phone:"], ["phone"], ["tel"], ["Tel."], ["Fax:"], ["fax"], ["Mobile"], ["mobile:"], ["cell"], ["cell", "is"], ["number", "is"], ["ring"], ["text", "me", "on"], ["reach", "us", "on"], ["Telephone"], ["line:"]])
+            return cue, phone(), LABELS.index(kind)
         if kind == "ssn":
             return rng.choice([["SSN"], ["ssn:"], ["social", "security", "number"], []]), [f"{digits(3)}-{digits(2)}-{digits(4)}"], LABELS.index(kind)
         if kind == "address":
-            road = rng.choice(["Street", "St.", "Avenue", "Ave.", "Road", "Rd.", "Lane", "Drive", "Blvd"])
-            return rng.choice([["address:"], ["lives", "at"], []]), [digits(rng.randint(1, 4)), word().capitalize(), road], LABELS.index(kind)
-        return rng.choice([["mail"], ["email:"], ["write"]]), [word() + digits(2), "at", word(), "dot", rng.choice(["com", "org", "net"])], LABELS.index(kind)
-
+            road = rng.choice(["Street", "St.", "Avenue", "Ave.", "Road", "Rd.", "Lane", "Drive", "Blvd", "Way", "Court"])
+            return rng.choice([["address:"], ["Address"], ["lives", "at"], ["to"], ["at"], []]), [digits(rng.randint(1, 4)), word().capitalize(), road], LABELS.index(kind)
+        at, dot = rng.choice([("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")])
+        own = rng.choice([[word() + digits(2)], [word()], [word(), dot, word()], [word(), dot, word()]])
+        local.append(len(own))
+        return rng.choice([["mail"], ["email:"], ["E-mail:"], ["write", "to"], ["email", "is"], ["send", "to"], ["under"], [], [], []]), [*own, at, word(), dot, rng.choice(["com", "org", "net", "de", "fr"])], LABELS.index(kind)
+
+    local: list[int] = []  # words of the last mail address before its "at"
     out = []
     for _ in range(rows):
         words: list[str] = []
@@ -199,7 +231,10 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
                 if rng.random() < 0.2:
                     own = [*own[:-1], own[-1] + rng.choice(".,;")]
                 words += cue + own
-                labels += [0] * len(cue) + [label] * len(own)
+                labels += [0] * len(cue) + [LABELS.index("local") if LABELS[label] == "email" and k < local[-1] else label for k in range(len(own))]
+                if LABELS[label] == "person" and not own[-1].endswith((".", ",", ";")) and rng.random() < 0.3:
+                    words.append(rng.choice(["lives", "is", "has", "and", "said", "name"]))
+                    labels.append(0)
         out.append((words, labels))
     return out
 
@@ -314,6 +349,21 @@ class Field:
         return [labels[i, : lengths[i]] for i in range(n)]
 
 
+def hand_written(part: str, copies: int = 4) -> list[tuple[list[str], list[int]]]:
+    """Words and labels of the hand-written sentences of one part (see labelled.py)."""
+    out = []
+    for text, spans in labelled.pii_rows(part, copies):
+        words = [m.span() for m in _NOT_SPACE.finditer(text)]
+        kinds = [next((k for k, a, b in spans if w[0] < b and a < w[1]), "O") for w in words]
+        said = [text[a:b] for a, b in words]
+        labels = [LABELS.index(k) for k in kinds]
+        for t, (w, k) in enumerate(zip(said, kinds, strict=True)):
+            if k == "email" and any(x.strip("()[]") == "at" and kinds[u] == k for u, x in enumerate(said[t + 1 : t + 4], t + 1)) and w.strip("()[]") != "at":
+                labels[t] = LABELS.index("local")
+        out.append((said, labels))
+    return out
+
+
 def train(table: list[tuple[list[str], list[int]]], epochs: int = 6, rate: float = 0.25, decay: float = 1e-4, batch: int = 100) -> Field:
     """Adagrad on the conditional log-likelihood; gradients by the forward-backward pass in numpy."""
     size = len(LABELS)
@@ -364,30 +414,30 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 @functools.cache
 def default_field() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    field = train(labelled_table())
+    field = train(labelled_table() + hand_written("train", 8))
     return field.weights, field.moves, field.first
 
 
-_NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'"
 
 
 def line_spans(line: str, at: int, labels: np.ndarray) -> Iterator[tuple[str, int, int]]:
     """Runs of one label as spans, without the punctuation at their ends."""
     words = [m.span() for m in _NOT_SPACE.finditer(line)]
+    kinds = [SPANS.get(LABELS[k], LABELS[k]) for k in labels]
     t = 0
-    while t < len(labels):
-        kind = labels[t]
+    while t < len(kinds):
+        kind = kinds[t]
         to = t
-        while to < len(labels) and labels[to] == kind:
+        while to < len(kinds) and kinds[to] == kind:
             to += 1
-        if kind:
+        if kind != "O":
             start, end = words[t][0], words[to - 1][1]
             whole = line[start:end]
             start += len(whole) - len(whole.lstrip(_EDGES))
             end -= len(whole) - len(whole.rstrip(_EDGES))
             if start < end:
-                yield LABELS[kind], at + start, at + end
+                yield kind, at + start, at + end
         t = to
 
 
