@@ -103,3 +103,18 @@ def unique_counts(df: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
     placed = global_numbers(df.select(value, *[o for o in order if o != value]), order, "pos")
     counts = placed.groupBy(value).agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
     return global_numbers(counts, [value], "inverse")
+
+
+def confident(df: DataFrame, column: str, least: float) -> DataFrame:
+    """Rows at or over a confidence; a row without one counts as sure."""
+    return df.where((F.col(column) >= least) | F.col(column).isNull())
+
+
+def dense_join(dialogs: DataFrame, dense: DataFrame, key: str, round_id: str) -> DataFrame:
+    """Dialogs with their dense annotation, many to one; those without one go, and one for no round of a dialog is an error.
+
+    dialogs: key and `rounds`, an array; dense: one row a key, with the annotated round from 1 and whatever else.
+    """
+    joined = dialogs.join(dense, key)
+    fits = F.col(round_id).between(1, F.size("rounds"))
+    return joined.where(F.assert_true(fits, F.lit(f"{round_id} is outside its dialog")).isNull())

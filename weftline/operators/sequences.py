@@ -124,3 +124,13 @@ def prefixes(df: DataFrame, seq: str, items: Column) -> DataFrame:
     """(seq, length, prefix): the first 1 to n - 1 items, never all."""
     held = df.select(seq, items.alias("_items")).where(F.size("_items") > 1)
     return held.select(seq, "_items", F.explode(F.sequence(F.lit(1), F.size("_items") - 1)).alias("length")).select(seq, F.col("length").cast("long").alias("length"), F.slice("_items", F.lit(1), F.col("length")).alias("prefix"))
+
+
+def scatter(tokens: DataFrame, features: DataFrame, mark: int) -> DataFrame:
+    """The image tokens of (seq, pos, token) with slot and features: the k-th one of a sequence takes row k of its features.
+
+    features: (seq, slot from 0, ...); a token beyond its sequence's features gets nulls.
+    """
+    marked = tokens.where(F.col("token") == mark)
+    placed = marked.withColumn("slot", (F.row_number().over(W.partitionBy("seq").orderBy("pos")) - 1).cast("long"))
+    return placed.join(features.withColumn("slot", F.col("slot").cast("long")), ["seq", "slot"], "left")
