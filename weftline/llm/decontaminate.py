@@ -16,7 +16,7 @@ Numbers of items, document frequencies, mean and longest length are taken over a
 Spark aggregation. Items are then indexed in shards of bounded size (SHARD_BYTES of text, by a hash of
 the item's id and text); each shard is one broadcast and one pass over the documents. As the statistics
 are those of all items, scores and verdicts don't depend on how items are dealt to shards. A full shard
-of 16 MB of text (2.5 million words) is {measured}.
+of 16 MB of text (47,523 items of 60 words, measured) is 122 MB as a broadcast and 150 MB in a worker.
 
 Words are compared in lower case, without other characters than letters and digits at their ends.
 

@@ -12,6 +12,10 @@ also begin anywhere else, in another document or in the same one; windows are ju
    Automata are sharded by block of documents, and within a block by a bounded number of phrases. All
    documents are streamed through the automata of their block, and every occurrence is marked.
 
+A block's automata hold the confirmed passages that occur in it, not those of the whole corpus: passages
+grow with the corpus, so streaming every document through every automaton would cost the square of it
+(the README has the measured figures), and a passage that doesn't begin in a block has no occurrence there.
+
 Defined cases: null text has no words; null ids are carried; repeated rows are copies of each other
 like any equal texts; an empty table gives an empty result; only the id and the text column are read.
 """
@@ -187,3 +191,15 @@ def brute_force(texts: list[str], window: int = WINDOW) -> list[tuple[int, int,
         gone = {j for i in range(len(d) - window + 1) if seen[tuple(d[i : i + window])] > 1 for j in range(i, i + window)}
         out.append((len(d), len(gone), hashlib.sha256(b" ".join(w for j, w in enumerate(d) if j not in gone)).hexdigest()))
     return out
+
+
+#: The same by grouping all windows by their words.
+ORACLE = rf"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM docs)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY key) > 1),
+gone AS (SELECT DISTINCT doc_id, i + s AS i FROM again, range({WINDOW}) r(s)),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT w.doc_id, string_agg(w.x, ' ' ORDER BY w.i) AS kept FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM docs d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
