@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.digests(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_phrase_automata": substring_dedup.ORACLE, "op6_winnowed_lines": line_dedup.ORACLE, "op7_bm25_leaks": decontaminate.ORACLE, "op9_adaptive_rules": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_phrase_automata": substring_dedup.ORACLE, "op5_minimax_shards": sharding.ORACLE, "op6_winnowed_lines": line_dedup.ORACLE, "op7_bm25_leaks": decontaminate.ORACLE, "op9_adaptive_rules": quality.ORACLE}

@@ -24,7 +24,7 @@ from .common import written
 
 STRETCH_DIGITS = 3
 AT_ONCE = 512
-SLOT_BUCKETS = 256
+SLOT_DIGITS = 3
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,8 +121,8 @@ class Order:
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; law `bytes`, so grown_shard is null.
 
-    Slots run from 0 without gaps within a shard: rows are numbered in buckets by a hash of id and
-    text, and the buckets' counts (shards x 256 rows at most) are added up.
+    Slots run from 0 without gaps within a shard: rows are numbered in buckets by a hash of the id, so that a
+    group of equal texts fills no bucket, and the buckets' counts (shards x 4,096 rows at most) are added up.
     """
     rows = written(sized(docs, id_col, text_col))
     order = Order(written(prefix_sums(rows)))
@@ -130,10 +130,28 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     number = F.lit(0)
     for key in order.cut_keys(ends):
         number += (F.col("key") > key).cast("int")
-    placed = rows.withColumns({"shard": number, "bucket": F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_BUCKETS)).cast("int")})
+    placed = rows.withColumns({"shard": number, "bucket": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, SLOT_DIGITS)})
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "key"))
     return placed.withColumn("within", within).join(F.broadcast(before), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END))"
+_PASSES = ",\n".join(f"s{k} AS (SELECT s.c, {', '.join([*[f's.e{j}' for j in range(1, k)], f'g.upto AS e{k}'])} FROM s{k - 1} s ASOF JOIN sums g ON g.upto <= {f's.e{k - 1} + s.c' if k > 1 else 's.c'})" for k in range(1, 9))
+#: The same by trying every capacity: an even share, and as much more as the largest group, is always enough.
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) AS key FROM documents),
+sums AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY key) AS BIGINT) AS upto FROM (SELECT key, CAST(sum(size) AS BIGINT) AS size FROM docs GROUP BY key)),
+facts AS (SELECT max(upto) AS total, max(size) AS largest FROM sums),
+s0 AS (SELECT unnest(range(greatest((total + 7) // 8, largest), (total + 7) // 8 + largest + 1)) AS c FROM facts),
+{_PASSES},
+best AS (SELECT e FROM (SELECT unnest(list_distinct([e1, e2, e3, e4, e5, e6, e7, e8])) AS e FROM (SELECT * FROM s8, facts WHERE e8 = total ORDER BY c LIMIT 1))),
+placed AS (SELECT key, CAST((SELECT count(*) FROM best WHERE e < upto) AS INT) AS shard FROM sums),
+bytes AS (SELECT key, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS b FROM (SELECT DISTINCT key, text FROM docs)),
+crc AS (SELECT key, xor(4294967295, list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS text_crc32 FROM bytes, (SELECT {_TABLE} AS t))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, {SLOT_DIGITS}), doc_id, key) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM docs JOIN placed USING (key) JOIN crc USING (key)"""
