@@ -16,8 +16,8 @@ def odd(rate: str) -> str:
     return {
         "chars_per_word": " ".join(f"{k}" + "x" * 40 for k in range(80)),
         "symbols_per_word": " ".join(f"$${k}##" for k in range(80)),
-        "dup_line_share": "\n".join(["a line"] * 45 + [fresh(3) for _ in range(55)]),
-        "repeat_word_share": "\n".join([fresh(60), "one two three four " * 11]),
+        "dup_line_share": "\n".join(["a line"] * 60 + [fresh(6) for _ in range(45)]),
+        "repeat_word_share": "\n".join([fresh(46), "one two three four " * 11]),
     }[rate]
 
 
