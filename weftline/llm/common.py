@@ -30,19 +30,25 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
 
 #: A key is hot if more than one in so many rows have it; so there are fewer hot keys than this.
 HOT_SHARE = 1_000
+#: Fewer rows than this are joined at once: one task can hold all of them.
+HOT_LEAST = 50_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """left joined with right, which has one row a key and in `weight` how many of left's `total` rows have it.
 
     The rows of hot keys stay where they are and meet right's row by a broadcast, of fewer than HOT_SHARE
-    rows by construction; all others are shuffled by key. left is read twice, so it should be written.
+    rows by construction; all others are shuffled by key. left is read twice, so it should be written. The
+    rows are the same either way. Joins by shuffle are told to sort and merge: the planner would broadcast what
+    is small, and operators with many rounds would fill the driver with such tables.
     """
+    if total < HOT_LEAST:
+        return left.hint("merge").join(right.drop(weight), keys)
     is_hot = F.col(weight) > max(total // HOT_SHARE, 1)
     rest = [c for c in right.columns if c not in (*keys, weight)]
     hot, cold = (right.where(x).select(*keys, *rest) for x in (is_hot, ~is_hot))
     without = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return left.join(F.broadcast(hot), keys).unionByName(without.join(cold, keys))
+    return left.join(F.broadcast(hot), keys).unionByName(without.hint("merge").join(cold, keys))
 
 
 def row_struct(df: DataFrame) -> Column:

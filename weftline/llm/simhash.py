@@ -217,7 +217,7 @@ def rooted(rows: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFra
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     n_rows, n_distinct = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     roots = written(components(linked(distinct)))
-    of_root = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")))
+    of_root = written(distinct.hint("merge").join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")))
     named = of_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     of_fp = written(hot_join(of_root, named, ["root"], "members", n_distinct).select("fp", "root", "component_id", "times"))
     return hot_join(rows, of_fp, ["fp"], "times", n_rows).select("doc_id", "fp", "digest", "root", "component_id")
