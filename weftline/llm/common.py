@@ -96,3 +96,21 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = BATC
         to = min(max(to, at + 1), at + rows)
         yield batch.slice(at, to - at)
         at = to
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows that agree in the first `keys` columns (whole numbers, sorted), each whole, one after the other."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        columns = [held.column(c).to_numpy() for c in range(keys)]
+        ends = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
+            yield held.slice(a, b - a)
+        if len(ends):
+            held = held.slice(ends[-1])
+    if held is not None:
+        yield held
