@@ -114,3 +114,15 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.T
             held = held.slice(ends[-1])
     if held is not None:
         yield held
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each of n points the least name that links (a, b) reach."""
+    out = names.copy()
+    while True:
+        low = np.minimum(out[a], out[b])
+        before = out.copy()
+        np.minimum.at(out, a, low)
+        np.minimum.at(out, b, low)
+        if np.array_equal(before, out):
+            return out

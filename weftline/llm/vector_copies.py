@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import hot_join, sorted_groups, written
+from .common import hot_join, least_reached, sorted_groups, written
 
 COSINE = 0.93
 WIDTH = 2.0
@@ -153,18 +153,6 @@ def linked_pairs(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def least_reached(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each of n points the least name that links (a, b) reach."""
-    out = names.copy()
-    while True:
-        low = np.minimum(out[a], out[b])
-        before = out.copy()
-        np.minimum.at(out, a, low)
-        np.minimum.at(out, b, low)
-        if np.array_equal(before, out):
-            return out
-
-
 def met(groups: DataFrame, depth: int, tables: int, cosine: float = COSINE) -> DataFrame:
     """(fp, n, least) of points with links in a group of (code, i, k, tile, fp, times, label, v), in sorted order.
 
