@@ -80,7 +80,8 @@ def test_mixture_is_within_a_row_of_its_share(spark, stop):
 def test_mixture_length(spark):
     df = spark.createDataFrame([("a",)] * 100 + [("b",)] * 50, "s string")
     assert [sampling.mix_length(df, "s", {"a": 1.0, "b": 2.0}, r).first()[0] for r in ("sum", "longest", "shortest")] == [150, 300, 75]
-    assert sampling.epoch_sizes(1000, 4, 8, 3) == {"batches": 32, "worker_batches": 11, "epoch_batches": 33, "epoch_samples": 1056}
+    sizes = spark.range(1).select(*[c.alias(k) for k, c in sampling.epoch_sizes(F.lit(1000), 4, 8, 3, F.lit(True)).items()]).first()
+    assert sizes.asDict() == {"batches": 32, "worker_batches": 11, "epoch_batches": 33, "epoch_samples": 1056}
 
 
 def test_oversampling_evens_out(spark):
@@ -118,10 +119,22 @@ def test_frechet_of_diagonals():
     assert similarity.frechet(m, a, m, a) == pytest.approx(0, abs=1e-9)
 
 
-def test_moments(spark):
-    x = np.random.default_rng(0).normal(size=(50, 3))
-    n, mean, cov = similarity.moments(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v")
-    assert n == 50 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x, rowvar=False))
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_moments(spark, shift):
+    """Sums of squares would lose the last nine digits of values round a million."""
+    x = np.random.default_rng(0).normal(size=(500, 3)) + shift
+    rows = [(v.tolist(), k % 3) for k, v in enumerate(x)] + [(None, 0), ([1.0, None, 2.0], 1)]
+    df = spark.createDataFrame(rows, "v array<double>, k int").repartition(7)
+    one = similarity.moments(df, "v")[None]
+    assert one.n == 500 and np.allclose(one.mean, x.mean(0), rtol=1e-12) and np.allclose(one.covariance(), np.cov(x, rowvar=False), rtol=0, atol=1e-9)
+    by = similarity.moments(df, "v", "k")
+    assert set(by) == {"0", "1", "2"} and all(np.allclose(by[str(k)].covariance(), np.cov(x[k::3], rowvar=False), rtol=0, atol=1e-9) for k in range(3))
+    assert similarity.moments(df.limit(0), "v") == {}
+
+
+def test_moments_scan_once(spark, sf_dir):
+    plan = similarity.co_moments(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_knn_plan_keeps_k_rows_a_task(spark, sf_dir):

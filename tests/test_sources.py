@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import packing
 from weftline.plans import scoring
 from weftline.sources import registry, shards, sinks
-from weftline.streaming import incremental
 
 
 def test_braces():
@@ -90,33 +87,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.vqa_results(df, vizwiz=True).first().image == "VizWiz_val_00000001.jpg"
 
 
-@pytest.mark.parametrize("arrival", [(0, 1, 2, 3, 4, 5, 6, 7), (7, 6, 5, 4, 3, 2, 1, 0), (3, 0, 6, 1, 7, 2, 5, 4)])
-def test_incremental_packing_equals_batch(spark, tmp_path, arrival):
-    """Whatever order the files come in, one of them twice, and over a restart from the checkpoint."""
-    rows = [(s, i, [1, *range(100, 100 + (i * 7 + s) % 11), 32000, 32001, 32001]) for s in range(3) for i in range(40)]
-    schema, source = "s int, o int, ids array<bigint>", tmp_path / "in"
-    source.mkdir()
-
-    def arrives(place: int, part: int) -> None:
-        path = source / f"{place}.json"
-        path.write_text("\n".join(json.dumps({"s": s, "o": i, "ids": ids}) for s, i, ids in rows if i // 5 == part))
-        os.utime(path, (1_000_000 + place, 1_000_000 + place))
-
-    def runs() -> None:
-        stream = incremental.packed_stream(incremental.shard_stream(spark, str(source), schema, 2), "s", "ids", "o", 32, 2, 3)
-        incremental.to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-
-    for place, part in enumerate(arrival[:5]):
-        arrives(place, part)
-    runs()
-    for place, part in enumerate((*arrival[5:], arrival[0]), 5):
-        arrives(place, part)
-    runs()
-    got = [((r.s, r.seq), r.ids) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    want = {(r.s, r.seq): r.ids for r in packing.pack_images(spark.createDataFrame(rows, schema), "s", "o", "ids", 32, 2, 3).collect()}
-    assert len(got) == len(dict(got)) and set(dict(got)) <= set(want) and all(want[k] == v for k, v in got) and len(want) - len(got) <= 3
-
-
 def test_scoring_boundary(spark):
     df = spark.createDataFrame([(1, "a b c", ["x", "y"]), (2, "", ["z"])], "id int, p string, o array<string>")
     assert [r.generated in ("a", "b", "c", "") for r in scoring.generate(df, "p").collect()] == [True, True]

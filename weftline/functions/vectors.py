@@ -35,3 +35,9 @@ def sincos_embedding(pos: Column, dim: int) -> Column:
 def quantise_pixel(x: Column) -> Column:
     """x in [0, 1] as a byte: times 255, rounded half up, clamped."""
     return F.least(F.greatest(F.floor(x * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int")
+
+
+def colour(index: Column, colours: int) -> dict[str, Column]:
+    """b, g and r of one of so many colours: the index's digits in a base just over the cube root, taken off white."""
+    base = int(colours ** (1 / 3)) + 1
+    return {c: (255 - F.floor(index / base**k) % base * (255 // base)).cast("int") for k, c in enumerate("bgr")}

@@ -39,6 +39,8 @@ class Packer:
     partial: bool = False
     few_shot: int = 0
     tokens: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    #: Sequences that were cut and dropped for lack of images.
+    dropped: int = 0
 
     def __post_init__(self) -> None:
         if self.level not in ("image", "sample"):
@@ -78,6 +80,7 @@ class Packer:
             end = back if back > 0 else end
         out, self.tokens = self.tokens[:end], self.tokens[end:]
         if np.count_nonzero(out == IMAGE) // self.n_image <= 0:
+            self.dropped += 1
             return None
         return self.boundaries_off(out), truncated
 

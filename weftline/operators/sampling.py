@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from ..functions.hashing import hash01
+from ..functions.hashing import hash01, hash01_of
 from .numbering import global_numbers
 
 
@@ -100,19 +103,81 @@ def strided(df: DataFrame, index: Column, world: int) -> DataFrame:
     return df.withColumn("rank", F.pmod(index, F.lit(world)).cast("long"))
 
 
-def epoch_sizes(samples: int, batch: int, world: int, workers: int, round_up: bool = True) -> dict[str, int]:
+def epoch_sizes(samples: Column, batch: int, world: int, workers: int, round_up: Column) -> dict[str, Column]:
     """Batches, batches a worker, and the samples of an epoch so rounded."""
-    cut = math.ceil if round_up else math.floor
+    cut = lambda x: F.when(round_up, F.ceil(x)).otherwise(F.floor(x)).cast("long")
     batches = cut(samples / (batch * world))
     per_worker = cut(batches / max(workers, 1))
-    return {"batches": batches, "worker_batches": per_worker, "epoch_batches": per_worker * max(workers, 1), "epoch_samples": per_worker * max(workers, 1) * batch * world}
+    whole = per_worker * max(workers, 1)
+    return {"batches": batches, "worker_batches": per_worker, "epoch_batches": whole, "epoch_samples": whole * batch * world}
 
 
 def shuffled(df: DataFrame, *keys: str, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """df in the order of a hash of seed + epoch and keys: a whole shuffle, not one of a buffer."""
+    """df in the order of a hash of seed + epoch and keys: a whole shuffle (O9); buffered_shuffle is the one of a buffer."""
     return df.orderBy(hash01(seed + epoch, *[F.col(k) for k in keys]), *keys)
 
 
+def streams(df: DataFrame, shard: str, order: str, workers: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """df with `worker`, laid out as loaders read it: shards in shuffled order, dealt to workers round-robin, a worker's rows
+    in one partition, shard after shard.
+
+    Only names of shards are shuffled to find their order; the rows move once, unless the reader has a worker's
+    files in one partition already.
+    """
+    seeded = hash01(seed + epoch, F.col(shard))
+    names = df.select(shard).distinct().withColumn("_h", seeded)
+    placed = global_numbers(names, ["_h", shard], "_place").select(shard, F.pmod("_place", F.lit(workers)).cast("long").alias("worker"))
+    return df.join(placed, shard).repartition("worker").sortWithinPartitions("worker", seeded, shard, order)
+
+
+def buffered_shuffle(df: DataFrame, worker: str, buffer: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """df with place: each worker's rows, shuffled through a buffer of so many rows as they come.
+
+    Row i of a worker is held until row i + d has come, d drawn evenly from 0 to buffer - 1 by a hash of seed + epoch,
+    worker and i; rows that fall due together keep their order. So the result is a permutation, no row moves further
+    ahead than the buffer is long nor is held longer, and a retry or another epoch gives what its numbers say.
+    A worker's rows must lie in one partition, in order; none is exchanged, and a task holds one buffer and one batch.
+    """
+    if buffer < 1:
+        raise ValueError("the buffer must hold a row")
+    at = df.columns.index(worker)
+    schema = to_arrow_schema(df.schema).append(pa.field("place", pa.int64()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, due = None, None, np.empty(0, np.int64)
+        came = gone = 0
+
+        def leave(most: int | None) -> Iterator[pa.RecordBatch]:
+            """Rows that are due before `most`, in the order in which they fall due."""
+            nonlocal held, due, gone
+            if held is None or not held.num_rows:
+                return
+            order = np.lexsort((np.arange(len(due)), due))
+            n = len(order) if most is None else int(np.searchsorted(due[order], most))
+            first, rest = order[:n], np.sort(order[n:])
+            out = held.take(pa.array(first)).append_column("place", pa.array(np.arange(gone, gone + n))).cast(schema)
+            held, due, gone = held.take(pa.array(rest)), due[rest], gone + n
+            yield from out.to_batches()
+
+        for batch in batches:
+            names = batch.column(at).to_pylist()
+            cuts = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if a == b:
+                    continue
+                if held is None or names[a] != now:
+                    yield from leave(None)
+                    now, held, due, came, gone = names[a], None, np.empty(0, np.int64), 0, 0
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                held = part if held is None else pa.concat_tables([held, part])
+                due = np.concatenate([due, [i + int(hash01_of(seed + epoch, now, i) * buffer) for i in range(came, came + b - a)]]).astype(np.int64)
+                came += b - a
+                yield from leave(came)
+        yield from leave(None)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("place", LongType())]))
+
+
 def bernoulli(p: float, *parts: Column | str | int) -> Column:
     return hash01(*parts) < p
 
@@ -139,9 +204,9 @@ def global_index(step: Column, sample: Column, rank: Column, batch: int, world:
     return (step * batch + sample) * world + rank
 
 
-def latin_order(source: Column, partition: Column, n: int) -> Column:
+def latin_order(source: Column, partition: Column, n: Column) -> Column:
     """Place of a source in a partition's order, so that at each turn all sources are in use (M5)."""
-    return F.pmod(source + partition, F.lit(n))
+    return F.pmod(source + partition, n)
 
 
 def equalised(df: DataFrame, rank: str, order: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,26 +44,81 @@ def mean_vector(df: DataFrame, vector: str) -> DataFrame:
     return df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and sample covariance: partial sums of x and x xT by task, added up by dimension."""
-    schema = "part bigint, n bigint, s array<double>, ss array<double>"
+@dataclass
+class CoMoments:
+    """Rows, their mean, and the sums of products of what they differ from it by; merges without cancellation."""
+
+    n: int
+    mean: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> CoMoments:
+        shift = x[0]  # large means cancel here, before anything is squared
+        mean = (x - shift).mean(0)
+        apart = x - shift - mean
+        return cls(len(x), shift + mean, apart.T @ apart)
+
+    def __add__(self, other: CoMoments) -> CoMoments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        return CoMoments(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def covariance(self) -> np.ndarray:
+        """The sample covariance; of a single row zeros."""
+        return self.products / max(self.n - 1, 1)
+
+
+#: Tasks to which the first level's rows of partial moments are dealt.
+MERGERS = 32
+
+
+def co_moments(df: DataFrame, vector: str, key: str | None = None) -> DataFrame:
+    """(key, n, mean, products) of each value of key (few; without key one row of key null), in one scan.
 
-    def run(batches):
-        n, s, ss, shift = 0, None, None, None
+    A task merges its batches into one row a key, these are merged in MERGERS tasks, and theirs in one: a tree of
+    rows whose size goes by the dimensions, not by the table. Null vectors are left out, as are those with null
+    components; vectors of a key must have one length.
+    """
+    fields = [("key", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))]
+    schema, ddl = pa.schema(fields), "key string, at bigint, n bigint, mean array<double>, products array<double>"
+
+    def rows(held: dict[str | None, CoMoments]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        at = task.partitionId() % MERGERS if task else 0
+        for k, m in held.items():
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(([k], [at], [m.n], [m.mean], [m.products.ravel()]), schema, strict=True)], schema=schema)
+
+    def add(held: dict[str | None, CoMoments], k: str | None, m: CoMoments) -> None:
+        held[k] = held[k] + m if k in held else m
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, CoMoments] = {}
+        for batch in batches:
+            for k in batch.column(0).unique().to_pylist():
+                own = batch.filter(pc.is_null(batch.column(0)) if k is None else pc.equal(batch.column(0), k))
+                x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+                add(held, k, CoMoments.of(x))
+        yield from rows(held)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, CoMoments] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float)
-                s, ss = (x.sum(0), x.T @ x) if s is None else (s + x.sum(0), ss + x.T @ x)
-                n += len(x)
-        if n:
-            yield pa.record_batch({"part": [0], "n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]}, schema=pa.schema([("part", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("ss", pa.list_(pa.float64()))]))
+            for k in range(batch.num_rows):
+                mean, products = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
+                add(held, batch.column(0)[k].as_py(), CoMoments(batch.column(2)[k].as_py(), mean, products.reshape(len(mean), -1)))
+        yield from rows(held)
 
-    held = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
-    add = lambda c: held.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i")
-    n = held.agg(F.sum("n")).first()[0] or 0
-    s, ss = (np.array([r["x"] for r in add(c).collect()]) for c in ("s", "ss"))  # d and d x d numbers
-    mean = s / max(n, 1)
-    return n, mean, (ss.reshape(len(s), len(s)) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    label = F.lit(None).cast("string") if key is None else F.col(key).cast("string")
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    parts = df.where(whole).select(label.alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(gather, ddl)
+    once = parts.repartition(MERGERS, "at").mapInArrow(merge, ddl)
+    return once.repartition(1).mapInArrow(merge, ddl).drop("at")  # MERGERS rows a key
+
+
+def moments(df: DataFrame, vector: str, key: str | None = None) -> dict[str | None, CoMoments]:
+    """The same on the driver: d + d x d numbers a key."""
+    return {r["key"]: CoMoments(r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(len(r["mean"]), -1)) for r in co_moments(df, vector, key).collect()}
 
 
 def frechet(mean1: np.ndarray, cov1: np.ndarray, mean2: np.ndarray, cov2: np.ndarray, eps: float = 1e-6) -> float:
@@ -76,14 +136,6 @@ def frechet(mean1: np.ndarray, cov1: np.ndarray, mean2: np.ndarray, cov2: np.nda
     return float(((mean1 - mean2) ** 2).sum() + np.trace(cov1) + np.trace(cov2) - 2 * trace)
 
 
-def covariance(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(i, j, cov), i <= j < dims: sample covariance of the first dims, in the JVM."""
-    x = [F.get(F.col(vector), F.lit(i)).cast("double") for i in range(dims)]
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    one = df.agg(*[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs])).alias("r")).select("r.*")
-
-
 def rerank(candidates: DataFrame, captions: DataFrame, key: str, vector: str, candidate: str) -> DataFrame:
     """(key, candidate, sim): the candidate most like its caption."""
     pairs = candidates.join(captions.select(key, F.col(vector).alias("_c")), key)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,13 @@ def evaluate(sources: Mapping[str, DataFrame], run: Mapping[str, Callable[[DataF
     return out
 
 
+def evaluate_by(df: DataFrame, key: str, metrics: Mapping[str, Column]) -> DataFrame:
+    """evaluate() where the sources are the values of a column: one grouped pass, whatever values there are; null is a source of that name."""
+    rows = df.groupBy(key).agg(*[c.cast("double").alias(name) for name, c in metrics.items()])
+    prefix = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    return rows.select(F.inline(F.array(*[F.struct(F.concat(prefix, F.lit(f"_{name}")).alias("metric"), F.col(name).alias("value")) for name in metrics])))
+
+
 def losses(tokens: DataFrame, logp: str, label: str, weight_text: float = 1.0) -> DataFrame:
     """Mean negative log-probability of the labels that count."""
     return tokens.where(F.col(label) != -100).agg((F.avg(-F.col(logp)) * weight_text).alias("loss"))

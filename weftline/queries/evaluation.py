@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..functions.fixed_values import ARTICLES, CONTRACTIONS, CURLY_CONTRACTIONS, NUMBER_WORDS, PUNCTUATION
 from ..functions.text import extract_answer, normalise_answer, process_digits_articles, process_punctuation, smart_join
+from ..functions.vectors import colour
 from ..operators import metrics
 from ..tables import table
 
@@ -146,18 +147,20 @@ def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rouge_l(pairs, "w", "ref").select("id", "ref_id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+#: Colours of the palette.
+COLOURS = 150
+
+
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred and fifty colours: digits in a base just over the cube root, taken off white."""
-    base = int(150 ** (1 / 3)) + 1
-    step = 255 // base
-    digit = lambda k: (255 - F.floor(F.col("id") / base**k) % base * step).cast("int")
-    return spark.range(150).select("id", digit(0).alias("b"), digit(1).alias("g"), digit(2).alias("r"))
+    """The colour of each size of part as a class of a palette."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("id")).distinct()
+    return sizes.select("id", *[c.alias(n) for n, c in colour(F.col("id"), COLOURS).items()])
 
 
 def coloured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as colours; label 0 is skipped."""
-    rows = table(spark, sf_dir, "embeddings").where("label > 0").select("vec_id", (F.col("label") - 1).cast("long").alias("id"))
-    return rows.join(F.broadcast(palette(spark, sf_dir)), "id").select("vec_id", "r", "g", "b")  # 150 rows
+    rows = table(spark, sf_dir, "embeddings").where("label > 0")
+    return rows.select("vec_id", *[c.alias(n) for n, c in colour(F.col("label") - 1, COLOURS).items()])
 
 
 def film_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +287,7 @@ ORACLE_SQL: dict[str, str] = {
         dl AS (SELECT id, o, sqrt(sum(x * x)) AS l FROM dw GROUP BY ALL), rl AS (SELECT id, item_id, o, sqrt(sum(x * x)) AS l FROM rw GROUP BY ALL),
         dot AS (SELECT id, item_id, o, sum(dw.x * rw.x) AS s FROM dw JOIN rw USING (id, o, g) GROUP BY ALL)
         SELECT id, round(10 * avg(coalesce(s / nullif(dl.l * rl.l, 0), 0)), 6) AS cider FROM r CROSS JOIN o LEFT JOIN dot USING (id, item_id, o) LEFT JOIN dl USING (id, o) LEFT JOIN rl USING (id, item_id, o) GROUP BY id""",
-    "palette": "SELECT i AS id, CAST(255 - i % 6 * 42 AS INT) AS b, CAST(255 - i // 6 % 6 * 42 AS INT) AS g, CAST(255 - i // 36 % 6 * 42 AS INT) AS r FROM range(150) t(i)",
+    "palette": "SELECT DISTINCT CAST(p_size AS BIGINT) AS id, CAST(255 - p_size % 6 * 42 AS INT) AS b, CAST(255 - p_size // 6 % 6 * 42 AS INT) AS g, CAST(255 - p_size // 36 % 6 * 42 AS INT) AS r FROM part",
     "coloured_labels": "SELECT vec_id, CAST(255 - (label - 1) // 36 % 6 * 42 AS INT) AS r, CAST(255 - (label - 1) // 6 % 6 * 42 AS INT) AS g, CAST(255 - (label - 1) % 6 * 42 AS INT) AS b FROM embeddings WHERE label > 0",
     "film_frames": "SELECT conv_id, turn, turn * 128 AS top, turn * 128 + 128 AS bottom FROM conversations",
 }

@@ -17,13 +17,18 @@ from ..functions.hashing import hash01, hash01_sql
 from ..operators import packing
 from ..operators.sequences import labels
 from ..plans import scoring
-from ..sources import shards
+from ..scratch import scratch_dir
+from ..sources import shards, sinks
 from ..tables import table
 from .token_windows import _TOKENS, _samples, tokens
 
 
+#: Conversations in an archive, on average.
+ZIP_CONVERSATIONS = 200
+
+
 def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight archives of conversations as JSON lines, with a ninth that is broken."""
+    """Lines of archives of conversations as JSON lines, written as files of their own, with one that is broken."""
 
     def pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -31,31 +36,32 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
             for shard, turns in zip(frame["shard"], frame["turns"], strict=True):
                 name, body = f"docs_shard_{shard}_v2.jsonl", io.BytesIO()
                 lines = "\n".join(json.dumps({"conv_id": int(t["conv_id"]), "turn": int(t["turn"]), "text": t["text"]}) for t in turns)
-                with zipfile.ZipFile(body, "w") as archive:
+                with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr(name, lines)
-                out.append((f"/shards/{name}.zip", body.getvalue() if shard < 8 else b"not an archive"))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                out.append((f"{name}.zip", body.getvalue() if shard >= 0 else b"not an archive"))
+            yield pd.DataFrame(out, columns=["name", "content"])
 
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    n = -(-conv.agg(F.count_distinct("conv_id")).first()[0] // ZIP_CONVERSATIONS) or 1
     turns = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("turns")
-    groups = conv.groupBy((F.col("conv_id") % 8).cast("int").alias("shard")).agg(turns).unionByName(conv.limit(1).groupBy(F.lit(8).alias("shard")).agg(turns))
-    return groups.mapInPandas(pack, "path string, content binary")
+    groups = conv.groupBy((F.col("conv_id") % n).cast("int").alias("shard")).agg(turns).unionByName(conv.limit(1).groupBy(F.lit(-1).alias("shard")).agg(turns))
+    path = scratch_dir(spark)
+    sinks.write_files(groups.mapInPandas(pack, "name string, content binary"), path, "name", "content")
+    return shards.zipped_lines(spark, f"{path}/files")
 
 
 def unpack_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of zipped shards; the broken archive gives none."""
-    lines = shards.unzipped(_zipped(spark, sf_dir)).where("value IS NOT NULL")
+    lines = _zipped(spark, sf_dir).where("value IS NOT NULL")
     record = F.from_json("value", "conv_id bigint, turn bigint, text string")
     return lines.select("shard", record.alias("r")).select("shard", "r.*")
 
 
 def zip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives that could not be read, counted."""
-    return shards.unzipped(_zipped(spark, sf_dir)).where("error IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n"))
+    return _zipped(spark, sf_dir).where("error IS NOT NULL").groupBy("shard").agg(F.count("*").alias("n"))
 
 
-#: Every language of the documents.
-LANGUAGES = ("de", "en", "es", "fr")
 #: Documents in an archive, on average.
 TAR_DOCS = 50
 
@@ -75,13 +81,15 @@ def tar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                             info = tarfile.TarInfo(f"part/{d['doc_id']:09d}.{ext}")
                             info.size = len(data)
                             archive.addfile(info, io.BytesIO(data))
-                out.append((f"/shards/{shard}.tar", body.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                out.append((f"{shard}.tar", body.getvalue()))
+            yield pd.DataFrame(out, columns=["name", "content"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = -(-docs.count() // TAR_DOCS) or 1
     groups = docs.groupBy(F.floor(hash01("tar", F.col("doc_id")) * n).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
-    samples = shards.grouped_members(shards.untarred(groups.mapInPandas(pack, "path string, content binary")))
+    path = scratch_dir(spark)
+    sinks.write_files(groups.mapInPandas(pack, "name string, content binary"), path, "name", "content")
+    samples = shards.grouped_members(shards.tar_members(spark, f"{path}/files"))
     return samples.select("shard", "key", F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files")).groupBy("shard", "key", "files").agg(F.count("*").alias("n"))
 
 
@@ -95,10 +103,21 @@ def caption_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lower(F.array_join(texts, " ")).alias("caption"))
 
 
+#: Documents that a shard's name stands for.
+SHARD_DOCS = 100
+
+
 def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brace patterns expanded."""
-    names = shards.expand_braces("docs_shard_{0..10}_v2.jsonl") + shards.expand_braces("{a,b{08..11}}.txt") + shards.indexed_paths("train_{}.jsonl", 2, 5)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place bigint, name string")
+    """The names that each source's brace pattern stands for."""
+
+    def expand(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            names = frame.assign(name=[shards.expand_braces(p) for p in frame["pattern"]]).explode("name")
+            yield names.assign(place=names.groupby("source").cumcount())[["source", "place", "name"]]
+
+    last = F.floor((F.count("*") - 1) / SHARD_DOCS)
+    patterns = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.format_string("{train,val}_{0..%d}_v2.jsonl", last).alias("pattern"))
+    return patterns.mapInPandas(expand, "source string, place bigint, name string")
 
 
 def scored_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +128,7 @@ def scored_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each language's documents under prefixed keys (X11)."""
-    docs = table(spark, sf_dir, "documents")
-    one = lambda df: df.agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count("*").cast("double").alias("n"))
-    return scoring.evaluate({x: docs.where(F.col("lang") == x) for x in LANGUAGES}, {x: one for x in LANGUAGES})
+    return scoring.evaluate_by(table(spark, sf_dir, "documents"), "lang", {"mean_chars": F.round(F.avg("n_chars"), 6), "n": F.count("*")})
 
 
 def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +139,8 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of ranks in the shape of the answer files (K3, M8)."""
-    from ..sources.sinks import vqa_results
-
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("lang").alias("caption"))
-    return vqa_results(rows, vizwiz=True)
+    return sinks.vqa_results(rows, vizwiz=True)
 
 
 def pack_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +156,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 
 ORACLE_SQL: dict[str, str] = {
-    "unpack_zip": "SELECT 'docs_shard_' || conv_id % 8 || '_v2.jsonl' AS shard, conv_id, turn, text FROM conversations",
-    "zip_errors": "SELECT 'docs_shard_8_v2.jsonl' AS shard, CAST(1 AS BIGINT) AS n",
+    "unpack_zip": f"SELECT 'docs_shard_' || conv_id % (SELECT greatest(ceil(count(DISTINCT conv_id) / {ZIP_CONVERSATIONS}.0), 1)::INT FROM conversations) || '_v2.jsonl' AS shard, conv_id, turn, text FROM conversations",
+    "zip_errors": "SELECT DISTINCT 'docs_shard_-1_v2.jsonl' AS shard, CAST(1 AS BIGINT) AS n FROM conversations",
     "tar_groups": f"""WITH d AS (SELECT doc_id, CAST(floor({hash01_sql("'tar'", "doc_id")} * (SELECT ceil(count(*) / {TAR_DOCS}.0) FROM documents)) AS INT) || '.tar' AS shard, 'part/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS key FROM documents)
         SELECT shard, key, 'json,txt' AS files, CAST(1 AS BIGINT) AS n FROM d UNION ALL SELECT shard, key, 'txt', 1 FROM d WHERE doc_id % 5 = 0""",
     "caption_union": "SELECT doc_id, lower(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' two' END) AS caption FROM documents",
-    "shard_names": """WITH n AS (SELECT i AS place, 'docs_shard_' || i || '_v2.jsonl' AS name FROM range(11) t(i) UNION ALL SELECT 11, 'a.txt' UNION ALL SELECT 12 + i, 'b' || lpad(CAST(8 + i AS VARCHAR), 2, '0') || '.txt' FROM range(4) t(i)
-        UNION ALL SELECT 16 + i, 'train_' || 2 + i || '.jsonl' FROM range(3) t(i)) SELECT CAST(place AS BIGINT) AS place, name FROM n""",
-    "metric_table": """SELECT lang || '_mean_chars' AS metric, round(avg(n_chars), 6) AS value FROM documents GROUP BY lang
-        UNION ALL SELECT lang || '_n', CAST(count(*) AS DOUBLE) FROM documents GROUP BY lang""",
+    "shard_names": f"""WITH s AS (SELECT coalesce(source, 'none') AS source, (count(*) - 1) // {SHARD_DOCS} AS last FROM documents GROUP BY 1), n AS (SELECT *, unnest(range(0, last + 1)) AS k FROM s)
+        SELECT source, CAST(k + i * (last + 1) AS BIGINT) AS place, p || '_' || k || '_v2.jsonl' AS name FROM n, (VALUES (0, 'train'), (1, 'val')) t(i, p)""",
+    "metric_table": """SELECT coalesce(lang, 'null') || '_mean_chars' AS metric, round(avg(n_chars), 6) AS value FROM documents GROUP BY lang
+        UNION ALL SELECT coalesce(lang, 'null') || '_n', CAST(count(*) AS DOUBLE) FROM documents GROUP BY lang""",
     "token_loss": f"""WITH {_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tokens)
         SELECT round(avg({hash01_sql('19', 'seq', 'pos')}), 9) AS loss FROM n WHERE NOT (nxt IS NULL OR nxt IN ({PAD}, {IMAGE}, {BOS}) OR (token = {BOS} AND nxt = {SOI}))""",
     "rank_gather": "SELECT 'VizWiz_val_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.jpg' AS image, lang AS answer FROM documents",

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.hashing import hash01, hash01_sql
 from ..operators import sampling as sam
@@ -64,9 +65,10 @@ def strided_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _docs(spark, sf_dir).count()
-    rows = [(up, *sam.epoch_sizes(n, 4, 8, 3, up).values()) for up in (True, False)]
-    return spark.createDataFrame(rows, "round_up boolean, batches long, worker_batches long, epoch_batches long, epoch_samples long")
+    """Batches and samples of each source's epoch, rounded up and down."""
+    counts = sam.source_counts(_docs(spark, sf_dir), "source")
+    both = counts.select("source", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("round_up"))
+    return both.select("source", "round_up", *[c.alias(k) for k, c in sam.epoch_sizes(F.col("n"), 4, 8, 3, F.col("round_up")).items()])
 
 
 def hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,16 @@ def hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.round(hash01(11 + e, F.col("doc_id")), 9).alias(f"epoch_{e}") for e in (0, 1)])
 
 
+#: Buffer of samples of the shuffle.
+BUFFER = 50
+
+
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the shuffled streams of three workers, through a buffer."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", F.pmod("doc_id", F.lit(5))).alias("shard"))
+    return sam.buffered_shuffle(sam.streams(docs, "shard", "doc_id", 3, 23, 1), "worker", BUFFER, 23, 1)
+
+
 def bernoulli_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", sam.bernoulli(0.3, 3, F.col("doc_id")).alias("image_first"))
 
@@ -91,8 +103,10 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(4).select(F.col("id").alias("source")).crossJoin(spark.range(4).select(F.col("id").alias("partition")))  # four by four
-    return pairs.select("source", "partition", sam.latin_order(F.col("source"), F.col("partition"), 4).cast("long").alias("place"))
+    """When each language's documents are read in each of four partitions, so that at a turn all languages are in use (M5)."""
+    pairs = _docs(spark, sf_dir).select("lang", F.pmod("doc_id", F.lit(4)).alias("partition")).distinct()
+    numbers = F.dense_rank().over(W.orderBy("lang")) - 1  # four pairs a language
+    return pairs.withColumn("k", numbers).withColumn("n", F.max("k").over(W.partitionBy()) + 1).select("lang", "partition", sam.latin_order(F.col("k"), F.col("partition"), F.col("n")).cast("long").alias("place"))
 
 
 def equal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +121,7 @@ def resampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    mix_sum, mix_shortest, mix_longest, mix_length, source_counts, sqrt_weights, inv_freq_weights, oversample_inv_freq, rank_slices, strided_slices, epoch_sizing, hash_shuffle,
+    mix_sum, mix_shortest, mix_longest, mix_length, source_counts, sqrt_weights, inv_freq_weights, oversample_inv_freq, rank_slices, strided_slices, epoch_sizing, hash_shuffle, buffer_shuffle,
     bernoulli_branch, random_choice, global_index, latin_order, equal_ranks, resampled_shards,
 )}
 
@@ -133,14 +147,19 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT r.doc_id, r.lang, draw FROM d JOIN k ON k.k = floor(u) JOIN r ON r.lang = k.lang AND r.rn = floor((u - floor(u)) * n) + 1""",
     "rank_slices": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () // 7 AS per FROM documents) SELECT doc_id, CAST(rn // per AS BIGINT) AS rank FROM r WHERE rn // per < 7",
     "strided_slices": "SELECT doc_id, doc_id % 4 AS node, CAST((doc_id // 4) % 3 AS BIGINT) AS worker FROM documents",
-    "epoch_sizing": """WITH n AS (SELECT count(*) AS n FROM documents), b AS (SELECT true AS round_up, CAST(ceil(n / 32.0) AS BIGINT) AS batches FROM n UNION ALL SELECT false, CAST(floor(n / 32.0) AS BIGINT) FROM n),
+    "epoch_sizing": """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT source, true AS round_up, CAST(ceil(n / 32.0) AS BIGINT) AS batches FROM n UNION ALL SELECT source, false, CAST(floor(n / 32.0) AS BIGINT) FROM n),
         w AS (SELECT *, CAST(CASE WHEN round_up THEN ceil(batches / 3.0) ELSE floor(batches / 3.0) END AS BIGINT) AS worker_batches FROM b)
-        SELECT round_up, batches, worker_batches, worker_batches * 3 AS epoch_batches, worker_batches * 96 AS epoch_samples FROM w""",
+        SELECT source, round_up, batches, worker_batches, worker_batches * 3 AS epoch_batches, worker_batches * 96 AS epoch_samples FROM w""",
     "hash_shuffle": f"SELECT doc_id, round({hash01_sql('11', 'doc_id')}, 9) AS epoch_0, round({hash01_sql('12', 'doc_id')}, 9) AS epoch_1 FROM documents",
+    "buffer_shuffle": f"""WITH d AS (SELECT doc_id, concat_ws('/', source, doc_id % 5) AS shard FROM documents),
+        w AS (SELECT shard, (row_number() OVER (ORDER BY h, shard) - 1) % 3 AS worker, h FROM (SELECT DISTINCT shard, {hash01_sql('24', 'shard')} AS h FROM d)),
+        i AS (SELECT doc_id, shard, worker, row_number() OVER (PARTITION BY worker ORDER BY h, shard, doc_id) - 1 AS i FROM d JOIN w USING (shard))
+        SELECT doc_id, shard, worker, row_number() OVER (PARTITION BY worker ORDER BY i + floor({hash01_sql('24', 'worker', 'i')} * {BUFFER}), i) - 1 AS place FROM i""",
     "bernoulli_branch": f"SELECT doc_id, {hash01_sql('3', 'doc_id')} < 0.3 AS image_first FROM documents",
     "random_choice": f"WITH l AS (SELECT conv_id, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1) SELECT conv_id, t[CAST(floor({hash01_sql('13', 'conv_id')} * len(t)) AS INT) + 1] AS text FROM l",
     "global_index": "SELECT doc_id, CAST((doc_id // 32 * 4 + doc_id // 8 % 4) * 8 + doc_id % 8 AS BIGINT) AS global_index FROM documents",
-    "latin_order": "SELECT a.i AS source, b.i AS partition, (a.i + b.i) % 4 AS place FROM range(4) a(i), range(4) b(i)",
+    "latin_order": """WITH p AS (SELECT DISTINCT lang, doc_id % 4 AS partition FROM documents), k AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM p)
+        SELECT lang, partition, (k + partition) % (SELECT max(k) + 1 FROM k) AS place FROM k""",
     "equal_ranks": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))",
     "resampled_shards": f"""WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
         SELECT draw, source FROM range(50) g(draw) JOIN s ON i = floor({hash01_sql('17', 'draw')} * n)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +49,25 @@ def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample covariance of all dimensions (A10)."""
-    _, _, cov = similarity.moments(_vectors(spark, sf_dir), "embedding")
-    cells = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]  # d x d numbers
-    return spark.createDataFrame(cells, "i bigint, j bigint, cov double").withColumn("cov", F.round("cov", 9))
+    one = similarity.co_moments(_vectors(spark, sf_dir), "embedding")
+    d = F.size("mean")
+    cell = F.floor(F.col("at") / d), F.col("at") % d
+    cells = one.select("n", "mean", F.posexplode("products").alias("at", "p")).select(*[c.cast("long").alias(k) for c, k in zip(cell, "ij", strict=True)], F.round(F.col("p") / F.greatest(F.col("n") - 1, F.lit(1)), 9).alias("cov"))
+    return cells.where("i <= j")
 
 
 def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fréchet distance between vectors with even and with odd labels."""
-    v = _vectors(spark, sf_dir)
-    (_, m1, c1), (_, m2, c2) = (similarity.moments(v.where(F.col("label") % 2 == k), "embedding") for k in (0, 1))
-    return spark.createDataFrame([(round(similarity.frechet(m1, c1, m2, c2), 6),)], "fid double")
+    sides = similarity.moments(_vectors(spark, sf_dir).withColumn("side", F.col("label") % 2), "embedding", "side")
+    return spark.createDataFrame([(round(similarity.frechet(*(x for k in "01" for x in (sides[k].mean, sides[k].covariance()))), 6),)], "fid double")
+
+
+def frechet_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fréchet distance from each label's vectors to those of the label before it, dimensions taken as independent."""
+    of = similarity.moments(_vectors(spark, sf_dir), "embedding", "label")
+    diagonal = lambda m: np.diag(np.diag(m.covariance()))
+    rows = [(int(k), round(similarity.frechet(of[before].mean, diagonal(of[before]), of[k].mean, diagonal(of[k])), 6)) for k in of if k and (before := str(int(k) - 1)) in of]
+    return spark.createDataFrame(rows, "label int, fid double")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +93,10 @@ def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sincos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sine and cosine position embeddings."""
-    rows = spark.range(16).select(F.col("id").alias("pos"), F.posexplode(sincos_embedding(F.col("id"), 8)).alias("i", "x"))
-    return rows.select("pos", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+    """Sine and cosine embeddings of each turn's position."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    rows = turns.select("conv_id", "turn", F.posexplode(sincos_embedding(F.col("turn"), 8)).alias("i", "x"))
+    return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
 
 
 def logprob_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +125,7 @@ def pixel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    knn_topk, cosine_mean, rerank_best, mean_vector, covariance, frechet, rank_metrics, ndcg, sincos, logprob_score, beam_topk, pixel_levels,
+    knn_topk, cosine_mean, rerank_best, mean_vector, covariance, frechet, frechet_diagonal, rank_metrics, ndcg, sincos, logprob_score, beam_topk, pixel_levels,
 )}
 
 _COS = "(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
@@ -124,6 +135,8 @@ _BEST = f"""{_V}, pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.
 _REL = f"{_BEST}, rel AS (SELECT *, CASE abs(ql - il) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS rel FROM best WHERE rank <= 10)"
 
 ORACLE_SQL: dict[str, str] = {
+    "frechet_diagonal": """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m, var_samp(x) AS v FROM x GROUP BY ALL)
+        SELECT a.label, round(sum((a.m - b.m) ** 2 + (sqrt(a.v) - sqrt(b.v)) ** 2), 6) AS fid FROM m a JOIN m b ON a.i = b.i AND b.label = a.label - 1 GROUP BY a.label""",
     "knn_topk": f"WITH {_BEST} SELECT query_id, item_id, sim, rank FROM best WHERE rank <= 5",
     "cosine_mean": f"WITH {_V} SELECT round(avg({_COS.format(a='a.e', b='b.e')}), 6) AS clip_sim, count(*) AS n FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
     "rerank_best": f"""WITH {_V}, s AS (SELECT c.vec_id AS caption, i.vec_id // 100 AS candidate, round(list_dot_product(i.e, c.e), 6) AS sim FROM v i JOIN v c ON c.vec_id = i.vec_id % 100 WHERE i.vec_id >= 100)
@@ -135,7 +148,7 @@ ORACLE_SQL: dict[str, str] = {
                round(avg(rank), 9) AS mean_rank, round(avg(1.0::DOUBLE / rank), 9) AS mrr FROM t""",
     "ndcg": f"""WITH {_REL}, k AS (SELECT *, count(*) FILTER (rel != 0) OVER (PARTITION BY query_id) AS k, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM rel)
         SELECT query_id, round(sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN ideal <= k THEN rel / log2(ideal + 1) ELSE 0 END), 0), 9) AS ndcg FROM k GROUP BY 1""",
-    "sincos": "SELECT p AS pos, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN sin(p / pow(10000.0, i / 4.0)) ELSE cos(p / pow(10000.0, (i - 4) / 4.0)) END, 9) AS x FROM range(16) a(p), range(8) b(i)",
+    "sincos": "SELECT conv_id, turn, CAST(i AS BIGINT) AS i, round(CASE WHEN i < 4 THEN sin(turn / pow(10000.0, i / 4.0)) ELSE cos(turn / pow(10000.0, (i - 4) / 4.0)) END, 9) AS x FROM conversations, range(8) b(i)",
     "logprob_score": f"WITH {_V} SELECT label, round(sum(e[label + 1] - ln(list_sum(list_transform(e, lambda x: exp(x))))), 6) AS score, count(*) AS n FROM v GROUP BY label",
     "beam_topk": f"""WITH {_V}, f AS (SELECT vec_id // 4 AS batch, vec_id % 4 * 64 + generate_subscripts(e, 1) - 1 AS ix, unnest(e) AS x FROM v),
         r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY x DESC, ix) AS rank FROM f)

@@ -1,25 +1,22 @@
 """Shard patterns and the readers of sharded annotations.
 
-Archives are read through Spark's binaryFile source, one archive a row, so any store that Spark knows
-serves; a bad archive or line is skipped and counted, as the reference logs and goes on.
+Archives are read in byte ranges by the data sources of archives.py; a bad archive or line is skipped and
+counted, as the published loader logs and goes on.
 """
 
 from __future__ import annotations
 
-import io
 import itertools
 import json
 import re
-import tarfile
-import zipfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import ensure_importable
+from . import archives
 
 #: Interleaved documents, pairs and inference documents.
 INTERLEAVED = ("text_list array<string>, image_info array<struct<image_name:string,matched_text_index:int,matched_sim:double>>, similarity_matrix array<array<double>>")
@@ -103,39 +100,19 @@ def captions(spark: SparkSession, paths: str | Sequence[str], text_member: str =
     return parsed.where("v IS NOT NULL").select(F.try_variant_get("v", "$.image", "string").alias("image"), F.coalesce(as_list, F.array(as_text)).alias("captions")).where("image IS NOT NULL")
 
 
-def _archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def _load(spark: SparkSession, source: str, paths: str | Sequence[str], **options: object) -> DataFrame:
     ensure_importable(spark)
-    return spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
+    archives.register(spark)
+    return spark.read.format(source).options(paths=json.dumps([paths] if isinstance(paths, str) else list(paths)), **options).load()
 
 
-def zipped_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return unzipped(_archives(spark, paths))
+def zipped_lines(spark: SparkSession, paths: str | Sequence[str], **options: object) -> DataFrame:
+    """(shard, member, line_no, value, error): lines of the member that bears the archive's name, or of `member`.
 
-
-def unzipped(archives: DataFrame) -> DataFrame:
-    """(shard, line_no, value, error): lines of the member that bears the archive's name.
-
-    An archive that can't be opened gives one row with its error and no value; filter on value for
-    what the reference yields, count errors for what it logs.
+    What can't be read gives one row with its error and no value; filter on value for the
+    data, count errors for the log.
     """
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                shard = path.rsplit("/", 1)[-1].removesuffix(".zip")
-                rows: list[tuple] = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(shard) as lines:
-                        for i, line in enumerate(lines):
-                            rows.append((shard, i, line.decode("utf-8", "replace").rstrip("\r\n"), None))
-                            if len(rows) >= 10_000:
-                                yield pd.DataFrame(rows, columns=["shard", "line_no", "value", "error"])
-                                rows = []
-                except (zipfile.BadZipFile, KeyError, EOFError, OSError) as error:
-                    rows.append((shard, -1, None, f"{type(error).__name__}: {error}"))
-                yield pd.DataFrame(rows, columns=["shard", "line_no", "value", "error"])
-
-    return archives.select("path", "content").mapInPandas(run, "shard string, line_no bigint, value string, error string")
+    return _load(spark, "zipped_lines", paths, **options)
 
 
 def interleaved(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -144,28 +121,9 @@ def interleaved(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return rows.select("shard", "line_no", F.from_json("value", INTERLEAVED, {"mode": "PERMISSIVE"}).alias("d")).where("d.text_list IS NOT NULL").select("d.*", "shard", "line_no")
 
 
-def tar_members(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return untarred(_archives(spark, paths))
-
-
-def untarred(archives: DataFrame) -> DataFrame:
+def tar_members(spark: SparkSession, paths: str | Sequence[str], **options: object) -> DataFrame:
     """(shard, place, name, content, error) of the regular files of tar archives."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["shard", "place", "name", "content", "error"]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                shard, i = path.rsplit("/", 1)[-1], 0
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                        for member in archive:
-                            if member.isfile():
-                                yield pd.DataFrame([(shard, i, member.name, archive.extractfile(member).read(), None)], columns=columns)
-                                i += 1
-                except (tarfile.TarError, EOFError, OSError) as error:
-                    yield pd.DataFrame([(shard, i, None, None, f"{type(error).__name__}: {error}")], columns=columns)
-
-    return archives.select("path", "content").mapInPandas(run, "shard string, place bigint, name string, content binary, error string")
+    return _load(spark, "tar_members", paths, **options)
 
 
 def grouped_members(members: DataFrame) -> DataFrame:
@@ -181,9 +139,9 @@ def grouped_members(members: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str, extensions: Sequence[str] = ("bmp", "jpg", "jpeg", "pgm", "png", "ppm", "tif", "tiff", "webp")) -> DataFrame:
-    """(path, content) of a folder's images in order of their path; decoding is left to the scoring boundary."""
+    """(path, content) of a folder's images, in no order, so that no bytes are shuffled; images.py decodes them."""
     glob = "*.{" + ",".join(extensions) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").orderBy("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
 def size_catalog(spark: SparkSession, sizes: dict[str, int] | str, shards: Iterable[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import keep_first
+from ..session import ensure_importable
+from . import file_writer
 
 
 def write_results(df: DataFrame, path: str, remove_duplicate: str | None = None, order: Sequence[str] = ()) -> None:
@@ -29,9 +31,11 @@ def append_metrics(spark: SparkSession, path: str, metrics: Mapping[str, float],
     values.select("metrics", F.lit(step).alias("step"), F.lit(round(epoch, 2)).alias("epoch")).coalesce(1).write.mode("append").json(path)
 
 
-def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
-    """Binary files by name, as a table of (name, content); a store's own tool may unpack it (K7)."""
-    df.select(F.col(name).alias("name"), F.col(content).alias("content")).write.mode("overwrite").parquet(path)
+def write_files(df: DataFrame, path: str, name: str, content: str, overwrite: bool = True) -> None:
+    """Binary files by name below path/files and df's other columns as a table in path/table, all of them or none (K6, K7)."""
+    ensure_importable(df.sparkSession)
+    file_writer.register(df.sparkSession)
+    df.write.format("named_files").mode("overwrite" if overwrite else "append").options(nameColumn=name, contentColumn=content).save(path)
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
