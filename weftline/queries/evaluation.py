@@ -11,7 +11,7 @@ from ..functions import boxes
 from ..functions.fixed_values import ARTICLES, CONTRACTIONS, CURLY_CONTRACTIONS, NUMBER_WORDS, PUNCTUATION
 from ..functions.text import extract_answer, normalise_answer, process_digits_articles, process_punctuation, smart_join
 from ..functions.vectors import colour
-from ..operators import metrics
+from ..operators import meteor, metrics
 from ..tables import table
 
 
@@ -147,6 +147,16 @@ def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rouge_l(pairs, "w", "ref").select("id", "ref_id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+def meteor_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of an answer against the sentences of the turn before it."""
+    turns = table(spark, sf_dir, "conversations")
+    sentences = F.filter(F.split("text", r"[.\n]"), lambda s: F.trim(s) != "")
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(sentences).alias("place", "sentence"))
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), sentences.alias("told"))
+    pairs = answers.join(asked, ["conv_id", "turn"], "left").withColumn("key", F.struct("conv_id", "turn", "place"))
+    return meteor.meteor(pairs, "key", "sentence", "told").select("key.*", "pairs", "equal", "chunks", "words", "told", F.round("score", 9).alias("score"))
+
+
 #: Colours of the palette.
 COLOURS = 150
 
@@ -170,7 +180,7 @@ def film_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     vqa_accuracy, vqa_scores, vizwiz_accuracy, answer_rules, unanswerable, box_iou_acc, box_format, box_flip, box_pairs, grounded_objects, rescaled_captions, miou, bleu_stats, cider_like, rouge_scores,
-    palette, coloured_labels, film_frames,
+    palette, coloured_labels, meteor_sentences, film_frames,
 )}
 
 # --- the same in DuckDB's words ---------------------------------------------------------------------

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import struct
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import resolution
 from ..functions.fixed_values import IMAGE
 from ..functions.hashing import hash01, hash01_sql
+from ..functions.vectors import quantise_pixel
 from ..operators import relational, sequences
 from ..scratch import scratch_dir
-from ..sources import registry, shards, sinks
+from ..session import ensure_importable
+from ..sources import arrays, images, registry, shards, sinks
 from ..tables import table
 from .token_windows import _TOKENS, tokens
 
@@ -102,12 +109,76 @@ def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(f"{name}_{k}") for name, cs in columns.items() for k, c in enumerate(cs)])
 
 
+def _npy(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors of a file as the bytes of a numpy array, even files on their own and odd ones in an archive."""
+    for frame in frames:
+        out = []
+        for k, rows in zip(frame["k"], frame["rows"], strict=True):
+            body, array = io.BytesIO(), np.array([r["embedding"] for r in rows], np.float32)
+            if k % 2:
+                np.savez_compressed(body, vectors=array)
+            else:
+                np.save(body, array)
+            out.append((f"v{k}.npz" if k % 2 else f"v{k}.npy", body.getvalue()))
+        yield pd.DataFrame(out, columns=["name", "content"])
+
+
+def npy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as numpy files and read in ranges of rows."""
+    path = scratch_dir(spark)
+    files = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 8).alias("k")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+    sinks.write_files(files.mapInPandas(_npy, "name string, content binary"), path, "name", "content")
+    ensure_importable(spark)
+    arrays.register(spark)
+    read = spark.read.format("npy").option("splitBytes", 8_192).load(f"{path}/files")
+    value = F.transform("value", lambda x: x.cast("double"))
+    return read.select("file", "member", "row", F.size("value").alias("n"), F.round(F.aggregate(value, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+#: Vectors whose entries are the rows of one image.
+IMAGE_ROWS = 64
+
+
+def _drawn(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Grey images of byte rows: PNG, a portable map, and a PNG that is cut short, in turn; rows of a PNG are filtered in turn as well."""
+    for frame in frames:
+        out = []
+        for k, rows in zip(frame["k"], frame["rows"], strict=True):
+            pixels = np.array([r["levels"] for r in rows], np.uint8)
+            if k % 3 == 1:
+                out.append((f"i{k}.pgm", b"P5\n# grey\n%d %d\n255\n" % pixels.shape[::-1] + pixels.tobytes()))
+                continue
+            above = np.vstack([np.zeros_like(pixels[:1]), pixels[:-1]])
+            body = b"".join(b"\2" + (row - up).tobytes() if y % 2 else b"\0" + row.tobytes() for y, (row, up) in enumerate(zip(pixels, above, strict=True)))
+            chunks = ((b"IHDR", struct.pack(">2I5B", *pixels.shape[::-1], 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(body)), (b"IEND", b""))
+            png = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b)) for n, b in chunks)
+            out.append((f"i{k}.png", png if k % 3 == 0 else png[: len(png) // 2]))
+        yield pd.DataFrame(out, columns=["name", "content"])
+
+
+def decoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn from vectors and decoded: by Spark, by the decoder of portable maps, or by none."""
+    path = scratch_dir(spark)
+    levels = F.transform("embedding", lambda x: quantise_pixel((x.cast("double") + 1) / 2))
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / IMAGE_ROWS).alias("k"), "vec_id", levels.alias("levels"))
+    drawn = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("vec_id", "levels"))).alias("rows")).mapInPandas(_drawn, "name string, content binary")
+    sinks.write_files(drawn, path, "name", "content")
+    out = images.decoded(spark, f"{path}/files")
+    return out.select(F.regexp_extract("origin", "([^/]+)$", 1).alias("name"), "height", "width", "channels", F.when(F.col("data").isNotNull(), F.lower(F.hex("data"))).alias("pixels"), F.col("error").isNotNull().alias("broken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    json_lines_scan, json_object_scan, json_mixed_scan, listed_files, image_pairs, metrics_log, confident_rows, dense_dialogs, scattered_features, crop_windows,
+    npy_rows, decoded_images, json_lines_scan, json_object_scan, json_mixed_scan, listed_files, image_pairs, metrics_log, confident_rows, dense_dialogs, scattered_features, crop_windows,
 )}
 
 _SHRUNK = """greatest(length(bin(CAST(floor(least(w, h) / {s}) AS BIGINT))) - 1, 0)"""
 ORACLE_SQL: dict[str, str] = {
+    "npy_rows": """SELECT 'v' || vec_id % 8 || CASE WHEN vec_id % 2 = 1 THEN '.npz' ELSE '.npy' END AS file, CASE WHEN vec_id % 2 = 1 THEN 'vectors.npy' END AS member, row_number() OVER (PARTITION BY vec_id % 8 ORDER BY vec_id) - 1 AS row,
+        CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""",
+    "decoded_images": f"""WITH v AS (SELECT vec_id // {IMAGE_ROWS} AS k, vec_id, array_to_string(list_transform(embedding, lambda x: lpad(lower(to_hex(CAST(least(greatest(floor((CAST(x AS DOUBLE) + 1) / 2 * 255 + 0.5), 0), 255) AS INT))), 2, '0')), '') AS p, len(embedding) AS w FROM embeddings),
+        i AS (SELECT k, CAST(count(*) AS INT) AS height, CAST(max(w) AS INT) AS width, string_agg(p, '' ORDER BY vec_id) AS pixels FROM v GROUP BY k)
+        SELECT 'i' || k || CASE WHEN k % 3 = 1 THEN '.pgm' ELSE '.png' END AS name, CASE WHEN k % 3 <> 2 THEN height END AS height, CASE WHEN k % 3 <> 2 THEN width END AS width, CASE WHEN k % 3 <> 2 THEN 1 END AS channels,
+            CASE WHEN k % 3 <> 2 THEN pixels END AS pixels, k % 3 = 2 AS broken FROM i""",
     "json_lines_scan": "SELECT conv_id, turn, text FROM conversations",
     "json_object_scan": "SELECT * FROM nation",
     "json_mixed_scan": "SELECT n_nationkey AS id, n_name AS image FROM nation WHERE n_regionkey > 0",

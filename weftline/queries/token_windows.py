@@ -89,18 +89,6 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select((F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("ord"), F.concat(F.array(F.lit(BOS).cast("long")), text, image, F.array(F.lit(2).cast("long"))).alias("ids"))
 
 
-def pack_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples packed to 128 tokens and four images at most, cut by image (Q1-Q4)."""
-    out = packing.pack_images(_samples(spark, sf_dir), "shard", "ord", "ids", 128, 4, 4, "image")
-    return out.select("shard", "seq", F.size("ids").cast("long").alias("n"), "is_truncated", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
-
-
-def pack_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same cut by sample, few-shot boundaries off (Q2, Q3, Q5)."""
-    out = packing.pack_images(_samples(spark, sf_dir), "shard", "ord", "ids", 128, 4, 4, "sample", few_shot=2)
-    return out.select("shard", "seq", F.size("ids").cast("long").alias("n"), "is_truncated", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
-
-
 def next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source into bins of 5,000 characters by next fit (Q8)."""
     return packing.next_fit(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 5000)
@@ -125,7 +113,7 @@ def trunc_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     nearest_bos, running_last, noimage_mask, label_mask, prev_image, visibility_join, rel_image_rank, seq_stats, slide20_stats, ragged_offsets, position_ids, every_kth,
-    pack_fixed, pack_images, pack_samples, next_fit, batch_pad, trunc_tail,
+    pack_fixed, next_fit, batch_pad, trunc_tail,
 )}
 
 _TOKENS = f"""tokens AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
