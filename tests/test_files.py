@@ -128,7 +128,7 @@ def test_the_chain(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(rgb, 2))
     (tmp_path / "b.ppm").write_bytes(b"P6 5 6 255\n" + rgb.tobytes())
     (tmp_path / "c.png").write_bytes(png(rgb, 2)[:70])
-    (tmp_path / "d.txt").write_bytes(b"")
+    (tmp_path / "d.txt").write_bytes(b"x")
     got = {r.origin.rsplit("/", 1)[-1]: r for r in images.decoded(spark, str(tmp_path)).collect()}
     assert {k: (r.decoder, r.error is None) for k, r in got.items()} == {"a.png": ("spark", True), "b.ppm": ("map", True), "c.png": (None, False), "d.txt": (None, False)}
     assert got["a.png"].data == got["b.ppm"].data == rgb[:, :, ::-1].tobytes() and (got["b.ppm"].height, got["b.ppm"].width, got["b.ppm"].channels) == (6, 5, 3)

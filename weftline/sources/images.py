@@ -147,7 +147,8 @@ def fallen_back(files: DataFrame) -> DataFrame:
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, height, width, channels, data, decoder, error) of every file of a folder; where no decoder can, data is null.
+    """(origin, height, width, channels, data, decoder, error) of every file of a folder; where no decoder can, data is null. Files without
+    a byte have no row, as in all of Spark's sources.
 
     Files that Spark's source decodes are read once; the others are told by their names and read again, so only
     their bytes are shuffled where Spark finds a filter on names worth its while. Count errors for the log.
