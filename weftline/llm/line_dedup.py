@@ -5,13 +5,15 @@ such lines, all shorter ones of more than `words` words, and a document of fewer
 whole: equal stretches of whole lines go if they have `run` lines or more than `words` words, and copies
 of short documents go; a short line alone stays.
 
-1. Winnowing. In every window of `run` lines the line with the smallest hash is selected (the leftmost of
-   equal ones), so two equal stretches of `run` lines or more select a common line; a shorter window is
-   its own fingerprint. A row leaves the document for each selected place, not for each window.
+1. Winnowing. Fingerprinted are the least windows: stretches of fewer than `run` lines with more than `words` words of
+   which no part has as many (a long line alone, two lines of which neither is long), whole documents of
+   fewer lines, and, of windows of `run` lines that hold none of these, the line with the smallest hash (the leftmost
+   of equal ones). Equal windows hold an equal fingerprint at the same place, so none is lost; a row leaves the
+   document for each selected place, and there are fewer of them than lines.
 2. Positions. Fingerprints that were selected at one place only can't be part of a repeat and are dropped;
    the others' places go back to their documents' line hashes.
-3. Extension. There each place is extended both ways, to the windows that selected it. Windows that begin
-   with the same lines as one at an earlier place mark their lines; marks that touch make up the runs.
+3. Extension. There each place is extended both ways, to all windows that hold it, each once a document. Windows that
+   are equal to one at an earlier place mark their lines; marks that touch make up the runs.
 
 Earlier means: smaller doc_id (null first), then smaller MD5 of the text, then earlier line. So the first
 copy of a run stays, and every later one is deleted, within a document too. Counts of fingerprints and of
@@ -50,32 +52,55 @@ def _window_hash(i: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get("c", i + j) for j in range(k)])
 
 
+def _words_in(i: Column, k: int) -> Column:
+    return sum((F.get("n", i + j) for j in range(1, k)), F.get("n", i)) if k else F.lit(0)
+
+
+def _bare(i: Column, run: int, words: int) -> Column:
+    """Whether no shorter window of more than `words` words lies in the window of `run` lines from i on."""
+    return (_words_in(i, run - 1) <= words) & (_words_in(i + 1, run - 1) <= words)
+
+
 def fingerprints(lines: DataFrame, run: int, words: int = WORDS) -> DataFrame:
-    """(doc, p, k, h): a row for each place that some window selects; k: lines of the windows."""
+    """(doc, p, k, h): a row for each place of a least window of k lines; where k is run, of a line that such a window selects."""
     size = F.size("c")
     kind = "array<struct<p:int,k:int,h:bigint>>"
-    selected = F.transform(F.sequence(F.lit(0), size - run), lambda i: _selected(i, run))
+    selected = F.transform(F.filter(F.sequence(F.lit(0), size - run), lambda i: _bare(i, run, words)), lambda i: _selected(i, run))
     # minima of sliding windows only move on, so a place is new where it differs from the window before's
     new = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1)["p"] != x["p"], F.lit(True)))
     winnowed = F.transform(new, lambda x: F.struct(x["p"].alias("p"), F.lit(run).alias("k"), x["h"].alias("h")))
 
     def short(k: int) -> Column:
-        alone = lambda i: (sum(F.get("n", i + j) for j in range(k)) > words) | ((size == k) & (size < run))
-        starts = F.when(size >= k, F.filter(F.sequence(F.lit(0), size - k), alone))
-        return F.transform(starts, lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), _window_hash(i, k).alias("h")))
+        least = lambda i: (_words_in(i, k) > words) & (_words_in(i, k - 1) <= words) & (_words_in(i + 1, k - 1) <= words)
+        starts = F.filter(F.sequence(F.lit(0), size - k), least)
+        whole = F.when((size == k) & (_words_in(F.lit(0), k) <= words), F.array(F.lit(0)))  # a document of few words
+        return F.transform(F.when(size >= k, F.coalesce(whole, starts)), lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), _window_hash(i, k).alias("h")))
 
     found = lines.select("doc", "c", "n", F.when(size >= run, selected).alias("s"))
     all_places = [F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (winnowed, *[short(k) for k in range(1, run)])]
     return found.select("doc", F.explode(F.concat(*all_places)).alias("x")).select("doc", "x.p", "x.k", "x.h")
 
 
-def extended(lines: DataFrame, places: DataFrame, run: int) -> DataFrame:
-    """(doc, i, k, w): the windows that selected the places, and their hashes."""
-    known = lines.join(places.groupBy("doc").agg(F.collect_list(F.struct("p", "k")).alias("at")).withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "c", F.explode("at").alias("at"))
-    around = F.sequence(F.greatest(F.col("at.p") - run + 1, F.lit(0)), F.least(F.col("at.p"), F.size("c") - run))
-    starts = F.when(F.col("at.k") < run, F.array("at.p")).otherwise(F.filter(around, lambda i: _selected(i, run)["p"] == F.col("at.p")))
-    whole = F.coalesce(*[F.when(F.col("at.k") == k, _window_hash(F.col("i"), k)) for k in range(1, run + 1)])
-    return known.select("doc", "c", "at", F.explode(starts).alias("i")).select("doc", "i", "at.k", whole.alias("w"))
+def extended(lines: DataFrame, places: DataFrame, run: int, words: int = WORDS) -> DataFrame:
+    """(doc, i, k, w): the windows that hold the places, each once a document, and their hashes."""
+    known = lines.join(places.groupBy("doc").agg(F.collect_list(F.struct("p", "k")).alias("at")).withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
+    size, kind = F.size("c"), "array<struct<i:int,k:int>>"
+
+    def holding(at: Column, k: int) -> Column:
+        """Windows of k lines round a least window: all of them are long enough."""
+        starts = F.sequence(F.greatest(at["p"] + at["k"] - k, F.lit(0)), at["p"])
+        return F.when((at["k"] <= k) & (at["k"] < run), F.transform(F.filter(starts, lambda i: i + k <= size), lambda i: F.struct(i.alias("i"), F.lit(k).alias("k")).cast("struct<i:int,k:int>")))
+
+    def selecting(at: Column) -> Column:
+        around = F.sequence(F.greatest(at["p"] - run + 1, F.lit(0)), F.least(at["p"], size - run))
+        mine = F.filter(around, lambda i: _bare(i, run, words) & (_selected(i, run)["p"] == at["p"]))
+        return F.when(at["k"] == run, F.transform(mine, lambda i: F.struct(i.alias("i"), F.lit(run).alias("k")).cast("struct<i:int,k:int>")))
+
+    none = F.array().cast(kind)
+    of = lambda at: F.concat(F.coalesce(selecting(at), none), *[F.coalesce(holding(at, k), none) for k in range(1, run + 1)])
+    windows = known.select("doc", "c", F.explode(F.array_distinct(F.flatten(F.transform("at", of)))).alias("x")).select("doc", "c", "x.i", "x.k")
+    whole = F.coalesce(*[F.when(F.col("k") == k, _window_hash(F.col("i"), k)) for k in range(1, run + 1)])
+    return windows.select("doc", "i", "k", whole.alias("w"))
 
 
 def doomed(rows: DataFrame, run: int) -> DataFrame:
