@@ -336,7 +336,7 @@ def test_lm_scores(docs, rows):
     total, v_plus = sum(one.values()), len(one) + 1
     before = one  # a token's count as a context, the end's too
     bucket = lambda c: min(int(np.log2(c)) + 1, lm_score.BUCKETS - 1) if c > 0 else 0
-    step = lambda x: min(int(-lm_score.FINE * np.log2(x)) + 1, 1023) if x > 0 else 0
+    step = lambda x: min(int(-lm_score.FINE * np.log2(x)) + 1, lm_score.STEPS - 1) if x > 0 else 0
     cells = defaultdict(lambda: [0, 0.0, 0.0])
     for held, words in tokens:
         for v, w in zip([None, *words], words, strict=False):

@@ -34,10 +34,19 @@ def test_field(field):
             exact[k] += (k, a, b) in got
             touched[k] += any(k == k2 and x < b and a < y for k2, x, y in got)
     assert all(touched[k] >= 0.85 * n for k, n in gold.items())
-    assert all(exact[k] >= {"email": 0.5, "person": 0.7}.get(k, 0.9) * n for k, n in gold.items())
+    assert all(exact[k] >= {"email": 0.8, "person": 0.75}.get(k, 0.9) * n for k, n in gold.items())
     assert sum(exact.values()) >= 0.8 * sum(found.values())
 
 
+def test_no_false_spans_on_the_corpus(field):
+    """The thousand documents hold no people, addresses or written-out mail; the phone numbers that may be found are real ones."""
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    found = [(k, t[a:b]) for t, spans in zip(texts, pii.added_spans(texts, field), strict=True) for k, a, b in spans if not any(x < b and a < y for _, x, y in pii.base_spans(t))]
+    assert all(k == "phone" and sum(c.isdigit() for c in v) >= 7 for k, v in found) and len(found) <= 5
+
+
 @pytest.mark.parametrize(("text", "kind", "value"), [
     ("My name is John Smith and I like tea.", "person", "John Smith"),
     ("Contact: Alice Brown", "person", "Alice Brown"),

@@ -9,8 +9,8 @@ token follows the end token, as if of the document before. The probability of a
 with weights of the bucket b of v's count (its binary logarithm; a bucket of its own for unseen v).
 The weights are learned by expectation-maximisation on held-out counts in the deleted way: every
 training token is scored by the counts without its own occurrence. The tokens' two estimates are
-gathered over all training documents in cells of a sixteenth of a power of two (count and sums, so a
-cell's mean is exact); the table of cells is of bounded size, and the iterations run on it.
+gathered over all training documents in cells of half a power of two (count and sums, so a
+cell's mean is exact); the table of cells is of fixed size at most, and the iterations run on it.
 
 Counts are exchanged by blocks of documents (see blocks.py): what is gathered grows with the corpus,
 no vocabulary is broadcast, and no token is a hot key.
@@ -34,8 +34,9 @@ from . import blocks as bl
 BLOCK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 10, 0
 SMOOTHING = 0.1
-#: Cells a power of two, and buckets of the context's count.
-FINE = 16
+#: Cells a power of two, steps of an estimate that are told apart, and buckets of the context's count. So there are fewer than
+#: BUCKETS * STEPS * STEPS cells, 442,368, whatever the corpus.
+FINE, STEPS = 2, 96
 BUCKETS = 48
 ITERATIONS = 200
 
@@ -153,7 +154,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         t = Tokens(*bl.unpack(block_rows.column("payload")[0].as_py()))
         own, context, pair = (x[t.train] for x in t.counts(*said(reply_rows)))
         two, one = estimates(own - 1, context - 1, pair - 1, total - 1)  # each token's own occurrence deleted
-        step = lambda x: np.where(x > 0, np.minimum((-FINE * np.log2(np.maximum(x, 1e-300))).astype(np.int64) + 1, 1023), 0)
+        step = lambda x: np.where(x > 0, np.minimum((-FINE * np.log2(np.maximum(x, 1e-300))).astype(np.int64) + 1, STEPS - 1), 0)
         cell = (bucket_of(context - 1) << 20) + (step(two) << 10) + step(one)
         keys, index = np.unique(cell, return_inverse=True)
         columns = [keys, np.bincount(index, minlength=len(keys)), np.bincount(index, two, minlength=len(keys)), np.bincount(index, one, minlength=len(keys))]
@@ -161,7 +162,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     table = bl.with_replies(packed, replies, gathered, "cell bigint, n bigint, two double, one double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one"))
     uniform = 1 / (vocabulary + 1)
-    # bounded: 48 buckets of 1,024 x 1,024 cells at most, a few ten thousand in texts
+    # bounded by the number of cells, which doesn't grow with the corpus
     cells = sorted((r[0] >> 20, r[1], r[2] / r[1], r[3] / r[1]) for r in table.toLocalIterator())
     weights = _floor_mix(learned(cells, uniform))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -87,6 +87,8 @@ CUES = frozenset(
     "is am i my this dear by author patient attn regards sincerely thanks hello customer tenant employee ring text line reach "
     "ship send deliver visit billing com org net".split()
 )
+#: Cues that end with a point before a name.
+TITLES = frozenset("mr mrs ms dr prof".split())
 OFFSETS = (-2, -1, 0, 1, 2)
 DIMENSIONS = 1 << 13
 EDGE = "\x00edge"
@@ -106,12 +108,13 @@ def features(word: str) -> tuple[str, ...]:
     low = core.lower()
     n = len(core)
     if core.isalpha():  # most words: the run shape needs no scan
-        run = "rx" if core.islower() else "rX" if core.isupper() and n > 1 else "rXx" if core[0].isupper() and (n == 1 or core[1:].islower()) else "rmixed"
+        run = "rx" if core.islower() else "rX" if core.isupper() and n > 1 else "rXx" if core[0].isupper() and (n == 1 or core[1:].islower()) else "rXXx" if core[:2].isupper() else "rmixed"
         found = ["letters", run]
+        ends = word[-1] if word[-1] in ".,;:!?" else ""
         if low in CUES:
-            found.append("w" + low)
-        if word[-1] in ".,;:!?":
-            found.append("p" + word[-1])
+            found.append("w" + low + ends)  # a cue that ends its sentence is none, and Mr. is one
+        if ends:
+            found.append("p" + ends)
         if word[0] in "([":
             found.append("open")
         return tuple(found)
@@ -120,7 +123,7 @@ def features(word: str) -> tuple[str, ...]:
     if found[0] != "letters" and n <= 16:
         found.append("s" + shape(core, False))
     if low in CUES:
-        found.append("w" + low)
+        found.append("w" + low + (word[-1] if word[-1] in ".,;:!?" else ""))
     if word[-1:] in ".,;:!?":
         found.append("p" + word[-1])
     if word[:1] in "([":
@@ -139,7 +142,7 @@ def slot(offset: int, feature: str) -> int:
 # --- the labelled table ---------------------------------------------------------------------------
 
 
-def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 1800, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """Sentences and the label of each word, by rule: invented words around invented personal data."""
     rng = random.Random(seed)
     syllables = "an on er th re in ou ti le de en is la ca mo ri so ver ich que ion el ar to ne".split()
@@ -173,29 +176,34 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
 
     def noise() -> list[str]:
         kind = rng.random()
-        if kind < 0.1:
+        if kind < 0.15:  # a word over and over, cues and capitals among them
             cue = rng.choice(cues)
-            again = rng.choice([word(0.5), cue, cue.capitalize(), cue + ".", "St.", "Dr.", "la"])
-            return [again] * rng.randint(3, 40)
-        if kind < 0.14:  # cue words at the ends and beginnings of sentences
-            cue = rng.choice(cues)
-            return [rng.choice([cue, cue.capitalize()]) + rng.choice(".,!"), word(1.0) + rng.choice(["", ".", ","]), rng.choice(cues).capitalize(), word()]
-        if kind < 0.18:
+            again = rng.choice([word(1.0), word(1.0) + ".", cue, cue.capitalize(), cue.capitalize() + rng.choice(["", ".", ","]), rng.choice("ABDIO") + rng.choice(["", ","]), "St.", "Dr.", "la"])
+            return [word(1.0)] * rng.randint(0, 3) + [again] * rng.randint(3, 40)
+        if kind < 0.35:  # cue words at the ends and beginnings of sentences, ss in capitals for one letter
+            cue = rng.choice([c for c in cues if c not in TITLES])
+            begun = lambda: rng.choice([word(1.0), word(1.0), "SS" + word().lower()]) + rng.choice(["", "", ".", ","])
+            ended = [rng.choice([cue, cue.capitalize()]) + rng.choice(".,!")] if rng.random() < 0.6 else [rng.choice(["this", "this", cue]), word() + rng.choice("..,")]
+            return [*ended, begun(), *([begun()] if rng.random() < 0.4 else []), rng.choice([rng.choice(cues).capitalize(), rng.choice(cues), word()]), word()]
+        if kind < 0.43:  # at without an address
+            at = ["at"] * rng.randint(1, 3)
+            return rng.choice([[word(), *at, word()], [word(), word(), *at, word(), word(), rng.choice(["", word()]) or word()], ["At", *at, word() + "."], [word(1.0) + "."] * 3 + ["At"] * rng.randint(2, 30)])
+        if kind < 0.46:
             return [rng.choice(["no.", "part", "serial", "order", "isbn", "version", "page", "of", "total", "in"]), rng.choice("-. ").join(digits(rng.randint(1, 5)) for _ in range(rng.randint(1, 5)))]
-        if kind < 0.25:
+        if kind < 0.49:
             return [digits(rng.randint(1, 6))]
-        if kind < 0.4:
-            return ["|", word(0.5), "|", digits(2)]
         if kind < 0.55:
+            return ["|", word(0.5), "|", digits(2)]
+        if kind < 0.65:
             return [word().capitalize() + ".", word(1.0), word(1.0)]
-        if kind < 0.7:
+        if kind < 0.75:
             return [digits(2) + "." + digits(2), digits(4) + "-" + digits(2) + "-" + digits(2)]
         if kind < 0.85:
             return [word() + rng.choice(["###", "%%%", "&&&", "***", "$$$"]), word().upper() + ".!!"]
         return [rng.choice(["number", "street", "name", "call", "at", "way", "no", "born", "court"]), word(), digits(3)]
 
     def entity() -> tuple[list[str], list[str], int]:
-        kind = rng.choice(LABELS[1:-1])
+        kind = rng.choice([*LABELS[1:-1], "person", "person"])
         if kind == "person":
             title = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Mr", "Mrs", "Ms", "Dr", "Prof"]
             cue = rng.choice([*[[t] for t in title], ["name:"], ["Name:"], ["Contact:"], ["contact"], ["Signed:"], ["Attn:"], ["Author:"], ["my", "name", "is"], ["Dear", rng.choice(title)], ["named"],
@@ -222,6 +230,8 @@ def labelled_table(rows: int = 1000, seed: int = 7) -> list[tuple[list[str], lis
         for _ in range(rng.randint(1, 3)):
             plain = [word(0.15) + (rng.choice(".,") if rng.random() < 0.15 else "") for _ in range(rng.randint(2, 7))]
             draw = rng.random()
+            if draw > 0.9 and not words:
+                plain = []  # a line may begin with what is to be found
             if draw < 0.4:
                 plain += noise()
             words += plain
