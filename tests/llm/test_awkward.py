@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from weftline.llm import byte_bpe, decontaminate, line_dedup, lm_score, pii, quality, secrets, sharding, simhash, substring_dedup
+import corpus_pipeline
+from weftline.llm import byte_bpe, common, decontaminate, line_dedup, lm_score, near_copies, pii, quality, secrets, sharding, simhash, substring_dedup, vector_copies
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +42,7 @@ def test_decontamination(spark, items, awkward, clashing, empty):
     assert decontaminate.keep_clean(clashing, items).count() == clashing.count()
 
 
-@pytest.mark.parametrize("stage", [quality.keep_good, line_dedup.clean, simhash.keep_one])
+@pytest.mark.parametrize("stage", [quality.keep_good, line_dedup.clean, simhash.keep_one, near_copies.keep_one])
 def test_stages_keep_columns(awkward, clashing, empty, stage):
     out = stage(awkward)
     assert out.schema.simpleString() == awkward.schema.simpleString()
@@ -49,3 +50,36 @@ def test_stages_keep_columns(awkward, clashing, empty, stage):
     assert wide.columns == clashing.columns
     assert sorted(map(str, wide.select(*awkward.columns).collect())) == sorted(map(str, out.collect()))
     assert stage(empty).count() == 0
+
+
+def test_encode(spark, sf_dir, awkward, clashing, empty):
+    out = corpus_pipeline.encode(spark, awkward, sf_dir)
+    rows = sorted(map(str, out.collect()))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and len(rows) == awkward.count()
+    assert {r.n_tokens for r in out.where("doc_id IN (4, 5)").collect()} == {0}
+    assert sorted(map(str, corpus_pipeline.encode(spark, clashing, sf_dir).collect())) == rows
+    assert corpus_pipeline.encode(spark, empty, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("make", [simhash.digests, line_dedup.digests, near_copies.grouped])
+def test_hot_keys_at_any_size(awkward, monkeypatch, make):
+    """Joins that split hot keys from the first row on give the rows of those that don't."""
+    docs = awkward.unionByName(awkward.where("doc_id IN (1, 8, 12)"))
+    want = sorted(map(str, make(docs).collect()))
+    monkeypatch.setattr(common, "HOT_LEAST", 0)
+    assert sorted(map(str, make(docs).collect())) == want
+
+
+def test_hot_vectors_at_any_size(spark, monkeypatch):
+    rows = [(k, [1.0 + 0.01 * (k % 5), 0.5, 0.1 * (k % 3)], k % 2) for k in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    want = sorted(map(str, vector_copies.grouped(vectors).collect()))
+    monkeypatch.setattr(common, "HOT_LEAST", 0)
+    assert sorted(map(str, vector_copies.grouped(vectors).collect())) == want
+
+
+def test_near_copies_of_a_very_long_text(spark, sf_dir):
+    words = [f"w{k * 7919 % 10007}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:59_000])), (3, " ".join(words[:30_000])), (4, "short"), (5, None)]
+    got = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5]
