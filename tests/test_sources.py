@@ -93,3 +93,12 @@ def test_scoring_boundary(spark):
     assert [len(r.scores) for r in scoring.score_options(df, "p", "o").orderBy("id").collect()] == [2, 1]
     out = scoring.evaluate({"s": df}, {"s": lambda d: d.agg(F.count("*").alias("n"))}).first()
     assert (out.metric, out.value) == ("s_n", 2.0)
+
+
+def test_losses(spark):
+    text = spark.createDataFrame([(-1.0, 5), (-3.0, 7), (-9.0, -100)], "logp double, label int")
+    images = spark.createDataFrame([([1.0, 2.0], [1.0, 4.0], 9, 1), ([0.0], [3.0], 2, 1), ([0.0], [2.0], 3, 0), ([1.0], [0.0], 3, None)], "t array<float>, p array<float>, c int, m int")
+    loss, image = scoring.losses(text, "logp", "label"), scoring.image_losses(images, "t", "p", "c", "m")
+    assert loss.first().loss == 2.0 and image.first().loss == (2.0 + 0 + 0 + 1.0) / 4
+    assert tuple(scoring.total_loss(loss, image).first()) == (2.0, 0.75, 9.5) and tuple(scoring.total_loss(loss).first()) == (2.0, None, 2.0)
+    assert scoring.image_losses(images, "t", "p", "c").first().loss == (2.0 + 0 + 4.0 + 1.0) / 4

@@ -80,9 +80,8 @@ def oversample(df: DataFrame, key: str, order: str, target: int, seed: int = 0)
     Draw i falls on u in [0, 1); as each key has the same mass, u picks the key and its fraction the row, so
     a draw needs equi-joins only and no cumulative sums in one place.
     """
-    total = df.count()
+    total, n_keys = df.agg(F.count("*"), F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))).first()
     keys = global_numbers(df.select(key).distinct(), [key], "_k")
-    n_keys = keys.count()
     rows = numbered(df, key, order).withColumn("_size", F.count("*").over(W.partitionBy(key)))
     draws = df.sparkSession.range(max(target - total, 0)).select(F.col("id").alias("draw"), (hash01(seed, F.col("id")) * n_keys).alias("_u"))
     picked = draws.withColumn("_k", F.floor("_u")).join(keys, "_k")

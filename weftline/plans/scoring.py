@@ -77,3 +77,22 @@ def evaluate_by(df: DataFrame, key: str, metrics: Mapping[str, Column]) -> DataF
 def losses(tokens: DataFrame, logp: str, label: str, weight_text: float = 1.0) -> DataFrame:
     """Mean negative log-probability of the labels that count."""
     return tokens.where(F.col(label) != -100).agg((F.avg(-F.col(logp)) * weight_text).alias("loss"))
+
+
+def image_losses(images: DataFrame, truth: str, predicted: str, context: str, mask: str | None = None) -> DataFrame:
+    """One row, loss: the mean of the images' squared errors, those without a condition counting as nothing.
+
+    truth, predicted: arrays; context: how many positions an image's condition has, of which two are its BOS and SOI, so that
+    an image with no more has none; mask: a weight an image (null: 1).
+    """
+    squares = F.zip_with(truth, predicted, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    error = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x) / F.size(truth)
+    weight = (F.col(context) > 2).cast("double") * (F.coalesce(F.col(mask).cast("double"), F.lit(1.0)) if mask else F.lit(1.0))
+    return images.agg(F.avg(error * weight).alias("loss"))
+
+
+def total_loss(text: DataFrame, image: DataFrame | None = None, weight_text: float = 1.0, weight_image: float = 10.0) -> DataFrame:
+    """One row (loss_txt, loss_img, loss) of one row of each: both weighed and added up; without images the text's alone."""
+    both = text.select(F.col("loss").alias("loss_txt"))
+    both = both.crossJoin(F.broadcast(image.select(F.col("loss").alias("loss_img")))) if image is not None else both.withColumn("loss_img", F.lit(None).cast("double"))  # one row each
+    return both.withColumn("loss", F.coalesce("loss_txt", F.lit(0.0)) * weight_text + F.coalesce("loss_img", F.lit(0.0)) * weight_image)

@@ -20,7 +20,8 @@ from ..plans import scoring
 from ..scratch import scratch_dir
 from ..sources import shards, sinks
 from ..tables import table
-from .token_windows import _TOKENS, _samples, tokens
+from . import batching
+from .token_windows import _SAMPLES, _TOKENS, _samples, tokens
 
 
 #: Conversations in an archive, on average.
@@ -137,6 +138,15 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.losses(rows, "logp", "label").select(F.round("loss", 9).alias("loss"))
 
 
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token loss and that of images, each vector a prediction of the one after it, its label the length of its condition."""
+    rows = labels(tokens(spark, sf_dir)).withColumn("logp", -hash01(19, F.col("seq"), F.col("pos")))
+    v = table(spark, sf_dir, "embeddings")
+    pairs = v.select("vec_id", "label", F.col("embedding").alias("truth")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("predicted")), "vec_id")
+    out = scoring.total_loss(scoring.losses(rows, "logp", "label"), scoring.image_losses(pairs, "truth", "predicted", "label"))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
 def rank_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of ranks in the shape of the answer files (K3, M8)."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("lang").alias("caption"))
@@ -147,12 +157,12 @@ def pack_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that packing gives out against those that went in, a shard each (Q1-Q3)."""
     samples = _samples(spark, sf_dir)
     fed = samples.groupBy("shard").agg(F.sum(F.size("ids")).alias("fed"))
-    out = packing.pack_images(samples, "shard", "ord", "ids", 128, 4, -1, "image", partial=True).groupBy("shard").agg(F.sum(F.size("ids")).alias("packed"))
-    return fed.join(out, "shard").select("shard", "fed", (F.col("fed") >= F.col("packed")).alias("no_more"))
+    out = packing.pack_images(samples, "shard", "ord", "ids", batching.LENGTH, batching.N_IMAGE, batching.MAX_IMAGES, "image").groupBy("shard").agg(F.sum(F.size("ids")).alias("packed"))
+    return fed.join(out, "shard").select("shard", "fed", "packed", (F.col("fed") >= F.col("packed")).alias("no_more"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    unpack_zip, zip_errors, tar_groups, caption_union, shard_names, scored_rounds, metric_table, token_loss, rank_gather, pack_conserved,
+    unpack_zip, zip_errors, tar_groups, caption_union, shard_names, scored_rounds, metric_table, token_loss, weighted_loss, rank_gather, pack_conserved,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,5 +177,11 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT coalesce(lang, 'null') || '_n', CAST(count(*) AS DOUBLE) FROM documents GROUP BY lang""",
     "token_loss": f"""WITH {_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tokens)
         SELECT round(avg({hash01_sql('19', 'seq', 'pos')}), 9) AS loss FROM n WHERE NOT (nxt IS NULL OR nxt IN ({PAD}, {IMAGE}, {BOS}) OR (token = {BOS} AND nxt = {SOI}))""",
+    "weighted_loss": f"""WITH {_TOKENS}, n AS (SELECT *, lead(token) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tokens)
+        , t AS (SELECT avg({hash01_sql('19', 'seq', 'pos')}) AS t FROM n WHERE NOT (nxt IS NULL OR nxt IN ({PAD}, {IMAGE}, {BOS}) OR (token = {BOS} AND nxt = {SOI}))),
+        i AS (SELECT avg(CASE WHEN a.label > 2 THEN list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)) / len(a.embedding) ELSE 0 END) AS i FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+        SELECT round(t, 9) AS loss_txt, round(i, 9) AS loss_img, round(t + 10 * i, 9) AS loss FROM t, i""",
+    "pack_conserved": f"""SELECT shard, fed, packed, fed >= packed AS no_more FROM (SELECT shard, CAST(sum(n) AS BIGINT) AS packed FROM ({batching.ORACLE_SQL["pack_images"]}) GROUP BY shard)
+        JOIN (WITH {_SAMPLES} SELECT shard, CAST(sum(len(ids)) AS BIGINT) AS fed FROM samples GROUP BY shard) USING (shard)""",
     "rank_gather": "SELECT 'VizWiz_val_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.jpg' AS image, lang AS answer FROM documents",
 }
