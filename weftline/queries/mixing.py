@@ -114,10 +114,14 @@ def equal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam.equalised(_docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")
 
 
+#: Draws of shards, and their seed.
+DRAWS, DRAW_SEED = 50, 17
+
+
 def resampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws of shards with replacement."""
     shards = table(spark, sf_dir, "documents").select("source").distinct()
-    return sam.resampled(shards, "source", 50, 17)
+    return sam.resampled(shards, "source", DRAWS, DRAW_SEED)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
