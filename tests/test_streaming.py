@@ -37,8 +37,7 @@ def batch(spark, rows, **options):
     return {(r.s, r.seq): (r.ids, r.is_truncated) for r in packing.pack_images(spark.createDataFrame(rows, SCHEMA), "s", "o", "ids", 32, 2, 3, **options).collect()}
 
 
-@pytest.mark.parametrize("arrival", [(0, 1, 2, 3, 4, 5, 6, 7), (7, 6, 5, 4, 3, 2, 1, 0), (3, 0, 6, 1, 7, 2, 5, 4)])
-@pytest.mark.parametrize("partial", [False, True])
+@pytest.mark.parametrize(("arrival", "partial"), [((0, 1, 2, 3, 4, 5, 6, 7), False), ((7, 6, 5, 4, 3, 2, 1, 0), True), ((3, 0, 6, 1, 7, 2, 5, 4), True)])
 def test_equals_batch_with_its_tail(spark, tmp_path, arrival, partial):
     """Whatever order the files come in, the end marks among them, one file twice, and over a restart from the checkpoint."""
     (tmp_path / "in").mkdir()
