@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -103,3 +104,17 @@ def test_a_large_group_of_distant_copies(spark, sf_dir, monkeypatch, tile):
     got = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
     want = survivors(rows)
     assert sorted(str(r.doc_id) for r in got.collect()) == want and 20 < len(want) < 140
+
+
+def test_frequent_shingles_cost_a_set_its_own_length():
+    """A million frequent shingles: a set looks its own up in them, and doesn't go through them all."""
+    rng = np.random.default_rng(4)
+    last = np.unique(rng.integers(-(2**63), 2**63 - 1, 1_000_000, dtype=np.int64))
+    sets = [np.sort(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 80, dtype=np.int64), rng.choice(last, 40, False)]).view(np.uint64)).view(np.int64) for _ in range(300)]
+    began = time.process_time()
+    places = [near_copies._prefix(s, last) for s in sets]
+    assert time.process_time() - began < 3
+    for s, at in zip(sets, places, strict=True):
+        late = np.isin(s, last[np.searchsorted(last, s) % len(last)])
+        assert at.tolist() == [*np.flatnonzero(~late), *np.flatnonzero(late)][: near_copies.prefix_length(len(s))]
+    assert near_copies._prefix(sets[0], last[:0]).tolist() == list(range(near_copies.prefix_length(len(sets[0]))))

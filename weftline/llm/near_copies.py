@@ -174,12 +174,20 @@ def fronts(texts: DataFrame) -> DataFrame:
 def frequent(counts: DataFrame, least: int = FREQUENT) -> np.ndarray:
     """Shingles at the front of more than `least` texts, ascending: a million at most."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r.h for r in counts.where(F.col("n") > max(least, total // 1_000_000)).collect()], np.int64))
+    found = counts.where(F.col("n") > max(least, total // 1_000_000)).select("h").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64))
+
+
+def among(s: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of s the ascending `last` has, by binary search: a set of n costs n log of last's length, not that length."""
+    if not len(last):
+        return np.zeros(len(s), bool)
+    return last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
 
 
 def _prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places in the ascending set s of its prefix, the shingles in `last` ordered after the others."""
-    late = np.isin(s, last) if len(last) else np.zeros(len(s), bool)
+    late = among(s, last)
     return np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: prefix_length(len(s))]
 
 
