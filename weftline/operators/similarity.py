@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -13,32 +14,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.vectors import cosine, dot
+from ..functions.vectors import dot
+from ..session import ensure_importable
 
-#: Bytes of queries that one pass broadcasts.
-QUERY_BYTES = 32 << 20
+#: Items and queries that meet in one group, on average; scores that are held at once.
+ITEM_ROWS, QUERY_ROWS, SCORES = 16_384, 4_096, 1 << 22
+#: What a sum of products may differ from the same sum in another order, at unit length.
+SLACK = 1e-9
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int, item_id: str, query_id: str, vector: str, digits: int = 6) -> DataFrame:
     """(query_id, item_id, sim, rank): the k items of highest cosine for each query, ties by item id; the query isn't excluded.
 
-    The stated queries go against all items in blocks of QUERY_BYTES, each block one broadcast; a partial
-    top k before the exchange (WindowGroupLimit) keeps what is shuffled at k rows a query and task.
+    Every query meets every item, which is quadratic where queries are a share of the items: items and queries are dealt to
+    blocks by hash, every two blocks meet in a group of bounded size, and leave k rows a query, which are ranked.
+    In a group a product of matrices finds what may be among the best k, and those alone are computed in array order, as
+    functions.vectors.cosine does. Cosines are compared as rounded; NaN comes first and null, of vectors that are null,
+    have null components, another length than the query's or no length, last.
     """
-    asked = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
-    sizes = asked.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("d")).first()
-    parts = max(1, -(-(sizes["n"] * (sizes["d"] or 0) * 8) // QUERY_BYTES))
-    out = None
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("_q"), F.lit(parts)) == part) if parts > 1 else asked
-        pairs = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("_w")).crossJoin(F.broadcast(block))
-        scored = pairs.select(F.col("_q").alias("query_id"), F.col("_i").alias("item_id"), F.round(cosine("_v", "_w"), digits).alias("sim"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "item_id"))
-        best = scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+    ensure_importable(items.sparkSession)
+    kinds = {"query_id": queries.schema[query_id].dataType.simpleString(), "item_id": items.schema[item_id].dataType.simpleString()}
+    n_items, n_queries = items.count(), queries.count()
+    blocks, parts = max(1, -(-n_items // ITEM_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    side = lambda df, key, n: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key, vector), F.lit(n)).alias("own"))
+    dealt = lambda rows, other, n: rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = dealt(side(items, item_id, blocks), "q", parts).select(F.col("own").cast("int").alias("i"), "q", "id", "v")
+    right = dealt(side(queries, query_id, parts), "i", blocks).select("i", F.col("own").cast("int").alias("q"), "id", "v")
+
+    def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        q, i, sim = nearest(held.column("v"), asked.column("v"), k, digits)
+        columns = [asked.column("id").take(pa.array(q)), held.column("id").take(pa.array(i)), pa.array(sim, pa.float64(), mask=np.isneginf(sim))]
+        return pa.table(columns, names=["query_id", "item_id", "sim"])
+
+    scored = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInArrow(meet, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, sim double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "item_id"))
+    return scored.withColumn("sim", F.round("sim", digits)).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (places, rows) of the vectors without nulls."""
+    flat = vectors.combine_chunks()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    sizes = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.list_flatten(flat)
+    starts = np.cumsum(sizes) - sizes
+    none = np.flatnonzero(pc.is_null(values).to_numpy(zero_copy_only=False))
+    whole = sizes > 0
+    whole[np.searchsorted(starts + sizes, none, side="right")] = False
+    x = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+    out = {}
+    for d in np.unique(sizes[whole]).tolist():
+        at = np.flatnonzero(whole & (sizes == d))
+        out[d] = at, x[starts[at, None] + np.arange(d)]
     return out
 
 
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row the sum of products, in array order."""
+    total = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        total = total + x[:, c] * y[:, c]
+    return total
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half up, away from zero, of the shortest decimal form, as Spark's round; NaN as infinity."""
+    scaled = np.abs(x) * 10.0**digits
+    out = np.sign(x) * np.floor(scaled + 0.5)
+    for j in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3).tolist():
+        out[j] = float(Decimal(repr(float(x[j]))).scaleb(digits).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.isnan(x), np.inf, out)
+
+
+def nearest(items: pa.ChunkedArray, queries: pa.ChunkedArray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the item, cosine): for each query the first k by rounded cosine, then by the item's place;
+    -inf stands for null."""
+    of_items, found = _matrix(items), []
+    none = np.ones(len(queries), np.int64) * min(k, len(items))  # of each query how many null ones may still count
+    valid: dict[int, np.ndarray] = {}
+    with np.errstate(all="ignore"):
+        for d, (places, y) in _matrix(queries).items():
+            if d not in of_items:
+                continue
+            own, x = of_items[d]
+            x_norm, y_norm = np.sqrt(_in_order(x, x)), np.sqrt(_in_order(y, y))
+            # of equal vectors only the first k can be among the best k
+            same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * d))).ravel(), return_inverse=True)[1].ravel()
+            order = np.argsort(same, kind="stable")
+            nth = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+            some = np.sort(order[(nth < k) & ~(x_norm[order] == 0)])
+            own, x, x_norm = own[some], x[some], x_norm[some]
+            step = max(1, SCORES // max(len(x), 1))
+            for at in range(0, len(y), step):
+                part, norm = y[at : at + step], y_norm[at : at + step]
+                near = (part / norm[:, None]) @ (x / x_norm[:, None]).T
+                least = np.partition(near, -k, axis=1)[:, -k] - 10.0**-digits - SLACK if near.shape[1] > k else np.full(len(part), -np.inf)
+                q, i = np.nonzero(~(near < least[:, None]))
+                length = x_norm[i] * norm[q]
+                q, i, length = q[length != 0], i[length != 0], length[length != 0]
+                sim = _in_order(x[i], part[q]) / length
+                best = np.lexsort((i, -_rounded(sim, digits), q))
+                first = np.arange(len(best)) - np.searchsorted(q[best], q[best])
+                best = best[first < k]
+                found.append((places[at + q[best]], own[i[best]], sim[best]))
+                none[places[at : at + step]] -= np.bincount(q[best], minlength=len(part))
+                for j in np.flatnonzero(none[places[at : at + step]] > 0).tolist():
+                    valid[int(places[at + j])] = own[i[q == j]]
+    for j in np.flatnonzero(none > 0).tolist():
+        gone = np.ones(len(items), bool)
+        gone[valid.get(j, np.empty(0, np.int64))] = False
+        more = np.flatnonzero(gone)[: k]
+        found.append((np.full(len(more), j), more, np.full(len(more), -np.inf)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
 def mean_vector(df: DataFrame, vector: str) -> DataFrame:
     """(dim, mean)."""
     return df.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
