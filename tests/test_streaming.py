@@ -8,6 +8,7 @@ import os
 import pytest
 
 from weftline.operators import packing, sampling
+from weftline.queries import batching, outputs
 from weftline.streaming import incremental
 
 SCHEMA = "s int, o int, ids array<bigint>"
@@ -93,6 +94,13 @@ def test_an_idle_shard_ends(spark, tmp_path):
         query.stop()
 
 
+def test_the_query_lets_a_whole_shard_wait(spark, sf_dir, monkeypatch):
+    """Files come in any order, so a fixed number of samples that may wait is passed once shards are large enough."""
+    monkeypatch.setattr(incremental.packed_stream, "__defaults__", (-1, "image", False, 0, 3, None))
+    got = sorted(map(str, outputs.streamed_packing(spark, sf_dir).collect()))
+    assert got == sorted(map(str, batching.pack_images(spark, sf_dir).collect())) and got
+
+
 def test_end_marks(spark):
     got = incremental.end_marks(spark.createDataFrame(ROWS, SCHEMA), "s", "ids", "o").collect()
     assert sorted((r.s, r.o, r.ids) for r in got) == [(s, 40, None) for s in range(3)]

@@ -44,13 +44,24 @@ def cached_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.materialise(counts, path)
 
 
+#: Samples in a file of the stream, on average.
+FILE_SAMPLES = 50_000
+
+
 def streamed_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in files that come a few a trigger, packed by state, written through a checkpoint, tail included (K8, Q1-Q4)."""
+    """Samples in files that come a few a trigger, packed by state, written through a checkpoint, tail included (K8, Q1-Q4).
+
+    Files hold stretches of places and are dated in their order, so few samples wait for their turn; a store that takes no dates may
+    bring them in any order, so as many as there are may wait.
+    """
     source, out, checkpoint = (scratch_dir(spark) for _ in range(3))
     place = F.row_number().over(W.partitionBy("shard").orderBy("ord")) - 1
     samples = _samples(spark, sf_dir).withColumn("ord", place.cast("long"))
-    samples.unionByName(incremental.end_marks(samples, "shard", "ids", "ord")).repartition(4).write.json(source)
-    stream = incremental.packed_stream(incremental.shard_stream(spark, source, samples.schema, 2), "shard", "ids", "ord", batching.LENGTH, batching.N_IMAGE, batching.MAX_IMAGES, "image")
+    n = samples.count()
+    files = max(4, -(-n // FILE_SAMPLES))
+    samples.unionByName(incremental.end_marks(samples, "shard", "ids", "ord")).repartitionByRange(files, "ord").sortWithinPartitions("ord").write.json(source)
+    sinks.date_in_order(spark, source)
+    stream = incremental.packed_stream(incremental.shard_stream(spark, source, samples.schema, 2), "shard", "ids", "ord", batching.LENGTH, batching.N_IMAGE, batching.MAX_IMAGES, "image", most_early=n + 1)
     incremental.to_table(stream, out, checkpoint).awaitTermination()
     return batching._sums(spark.read.schema("shard bigint, seq bigint, ids array<bigint>, is_truncated int").parquet(out))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,17 @@ def write_files(df: DataFrame, path: str, name: str, content: str, overwrite: bo
     df.write.format("named_files").mode("overwrite" if overwrite else "append").options(nameColumn=name, contentColumn=content).save(path)
 
 
+def date_in_order(spark: SparkSession, path: str) -> None:
+    """Files of a folder get the order of their names as that of their dates, which is a stream's order; where the store sets no dates it stays."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f for f in store.listStatus(place) if f.isFile()), key=lambda f: f.getPath().getName())
+    last = max((f.getModificationTime() for f in files), default=0)
+    with contextlib.suppress(Exception):
+        for k, f in enumerate(files):
+            store.setTimes(f.getPath(), last - 1000 * (len(files) - k), -1)
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Statistics or features computed once (K9), under a folder named by the plan's hash: another input or
     another computation gives another folder, never an older one's rows."""

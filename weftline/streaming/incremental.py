@@ -29,13 +29,18 @@ def shard_stream(spark: SparkSession, path: str, schema: StructType | str, per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+#: Samples before their turn that a call holds before it writes them to the state.
+HELD = 50_000
+
+
 class PackingProcessor(StatefulProcessor):
     """A Packer a shard, its state in three parts that are written row by row.
 
     `progress` (value): sequences given, the place that is due, samples that wait, whether the shard has
     ended. `buffer` (list): the packer's tokens, a row a sample; samples are appended, and the list is written anew
     only where a sequence was cut, when little more than a sequence's tokens are left. `early` (map): samples that
-    came before their turn, by place; each is written once and removed once.
+    came before their turn, by place; each is written once and removed once, and those whose turn comes within the same
+    trigger mostly not at all.
 
     A sample without ids is the end mark, its place the number of samples: when it is due the tail is flushed as
     in the batch form, and the shard's buffer goes. With idle_ms a shard that gets no rows for so long ends as if its
@@ -58,16 +63,19 @@ class PackingProcessor(StatefulProcessor):
         packer = self._packer()
         chunks: list[tuple] = []  # samples since the last cut
         cut = False
+        held: dict[int, Any] = {}  # early samples of this trigger that aren't in the state
         for frame in rows:
             out: list[tuple] = []
             for place, sample in zip(frame["o"].tolist(), frame["ids"], strict=True):
                 if ended or place < due:
                     continue
                 if place > due:
-                    if not self.early.containsKey((place,)):
-                        self.early.updateValue((place,), (None if sample is None else [int(t) for t in sample],))
-                        waiting += 1
-                        if waiting > self.most_early:
+                    if place not in held and not (waiting and self.early.containsKey((place,))):
+                        held[place] = sample
+                        if len(held) >= HELD:
+                            waiting += self._put(held)
+                        if waiting + len(held) > self.most_early:
+                            waiting += self._put(held)
                             raise ValueError(f"shard {key[0]!r}: {waiting} samples wait for number {due}, which hasn't come")
                     continue
                 while True:
@@ -81,7 +89,12 @@ class PackingProcessor(StatefulProcessor):
                         cut = True
                     out += [(key[0], seq + k, ids.tolist(), flag) for k, (ids, flag) in enumerate(found)]
                     seq += len(found)
-                    if ended or not waiting or not self.early.containsKey((due,)):
+                    if ended:
+                        break
+                    if due in held:
+                        sample = held.pop(due)
+                        continue
+                    if not waiting or not self.early.containsKey((due,)):
                         break
                     sample = self.early.getValue((due,))[0]
                     self.early.removeKey((due,))
@@ -90,6 +103,7 @@ class PackingProcessor(StatefulProcessor):
         if ended:
             self._end(seq, due)
             return
+        waiting += self._put(held)
         if cut or packer.dropped:
             self.buffer.clear()
             if len(packer.tokens):
@@ -110,6 +124,14 @@ class PackingProcessor(StatefulProcessor):
         self._end(seq + len(out), due)
         yield _rows(out)
 
+    def _put(self, held: dict[int, Any]) -> int:
+        """Early samples go to the state; how many."""
+        n = len(held)
+        for place, sample in held.items():
+            self.early.updateValue((place,), (None if sample is None else [int(t) for t in sample],))
+        held.clear()
+        return n
+
     def _packer(self) -> Packer:
         held = [np.asarray(ids, np.int64) for (ids,) in self.buffer.get()]
         return Packer(**self.packer, tokens=np.concatenate(held) if held else np.empty(0, np.int64))
@@ -140,7 +162,8 @@ def packed_stream(
 
     `order` is a sample's place in its shard, from 0 without gaps; a row with null ids and the place after the last
     ends the shard (end_marks() makes them). A shard of which more than most_early samples wait for one that doesn't come
-    fails the query with its name and the missing place, rather than hold them for ever. The session is told to
+    fails the query with its name and the missing place, rather than hold them for ever; where files come in any order, as many
+    as a shard has may wait. The session is told to
     keep state in RocksDB, which this operator needs.
     """
     spark = samples.sparkSession
