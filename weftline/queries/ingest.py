@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import tarfile
 import zipfile
@@ -33,14 +34,12 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for shard, turns in zip(frame["shard"], frame["turns"], strict=True):
                 name, body = f"docs_shard_{shard}_v2.jsonl", io.BytesIO()
                 lines = "\n".join(json.dumps({"conv_id": int(t["conv_id"]), "turn": int(t["turn"]), "text": t["text"]}) for t in turns)
                 with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr(name, lines)
-                out.append((f"{name}.zip", body.getvalue() if shard >= 0 else b"not an archive"))
-            yield pd.DataFrame(out, columns=["name", "content"])
+                yield pd.DataFrame([(f"{name}.zip", body.getvalue() if shard >= 0 else b"not an archive")], columns=["name", "content"])
 
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     n = -(-conv.agg(F.count_distinct("conv_id")).first()[0] // ZIP_CONVERSATIONS) or 1
@@ -71,23 +70,23 @@ def tar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of tar members by base name; a repeated extension begins the next (S3)."""
 
     def pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for shard, docs in zip(frame["shard"], frame["docs"], strict=True):
-                body = io.BytesIO()
-                with tarfile.open(fileobj=body, mode="w") as archive:
-                    for d in docs:
-                        for ext in ("txt", "json", "txt") if d["doc_id"] % 5 == 0 else ("TXT", "json"):
-                            data = f"{ext} {d['doc_id']}".encode()
-                            info = tarfile.TarInfo(f"part/{d['doc_id']:09d}.{ext}")
-                            info.size = len(data)
-                            archive.addfile(info, io.BytesIO(data))
-                out.append((f"{shard}.tar", body.getvalue()))
-            yield pd.DataFrame(out, columns=["name", "content"])
+        rows = itertools.chain.from_iterable(zip(f["shard"].tolist(), f["doc_id"].tolist(), strict=True) for f in frames)
+        for shard, docs in itertools.groupby(rows, lambda r: r[0]):
+            body = io.BytesIO()
+            with tarfile.open(fileobj=body, mode="w") as archive:
+                for _, d in docs:
+                    for ext in ("txt", "json", "txt") if d % 5 == 0 else ("TXT", "json"):
+                        data = f"{ext} {d}".encode()
+                        info = tarfile.TarInfo(f"part/{d:09d}.{ext}")
+                        info.size = len(data)
+                        archive.addfile(info, io.BytesIO(data))
+                    archive.members.clear()  # it would hold every header
+            yield pd.DataFrame([(f"{shard}.tar", body.getvalue())], columns=["name", "content"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = -(-docs.count() // TAR_DOCS) or 1
-    groups = docs.groupBy(F.floor(hash01("tar", F.col("doc_id")) * n).cast("int").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("docs"))
+    # documents stream through the sorted partition, so a task holds one archive
+    groups = docs.select(F.floor(hash01("tar", F.col("doc_id")) * n).cast("int").alias("shard"), "doc_id").repartition("shard").sortWithinPartitions("shard", "doc_id")
     path = scratch_dir(spark)
     sinks.write_files(groups.mapInPandas(pack, "name string, content binary"), path, "name", "content")
     samples = shards.grouped_members(shards.tar_members(spark, f"{path}/files"))
