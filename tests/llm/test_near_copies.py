@@ -118,3 +118,37 @@ def test_frequent_shingles_cost_a_set_its_own_length():
         late = np.isin(s, last[np.searchsorted(last, s) % len(last)])
         assert at.tolist() == [*np.flatnonzero(~late), *np.flatnonzero(late)][: near_copies.prefix_length(len(s))]
     assert near_copies._prefix(sets[0], last[:0]).tolist() == list(range(near_copies.prefix_length(len(sets[0]))))
+
+
+def test_fingerprints_are_majorities_and_meet_at_anchors():
+    """Each word is the majority of its mix; sets that differ in fewer than (EXCESS + 1) * WORDS bits meet at an anchor."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)) for n in (0, 1, 2, 77, 500)]
+    words = near_copies.fingerprints(sets)
+    for s, own in zip(sets, words, strict=True):
+        for m, word in zip(near_copies._MIXES, own.tolist(), strict=True):
+            mixed = near_copies.bl.scrambled(s.view(np.uint64) * m).tolist()
+            assert word % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(s))
+    n, excess = near_copies.WORDS, near_copies.EXCESS
+    for _ in range(50):
+        a = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+        b = a.copy()
+        for bit in rng.choice(64 * n, (excess + 1) * n - 1, False).tolist():
+            b[bit // 64] ^= np.uint64(1 << bit % 64).view(np.int64)
+        homes = simhash.covering(a, 0)[1]
+        row, anchor, _ = simhash.covering(b, excess)
+        assert len(homes) == n and any(homes[k] in anchor[row == k] for k in range(n))
+
+
+def test_the_stage_searches_by_covering(spark, sf_dir, monkeypatch):
+    """Most links are found at the anchors, and what meets there is far less than all pairs."""
+    docs = spark.createDataFrame(planted(), "doc_id bigint, text string")
+    found, covered = [], near_copies.covered
+    monkeypatch.setattr(near_copies, "covered", lambda of_set: found.append(covered(of_set)) or found[0])
+    kept = sorted(str(r.doc_id) for r in corpus_pipeline.dedup_near(spark, docs, sf_dir).collect())
+    assert kept == survivors(planted())
+    of = {near_copies.signature(near_copies.shingle_sets([t.encode()])[0]): shingles(t) for _, t in planted()}
+    pairs = {(r.a, r.b) for r in found[0].collect()}
+    links = {(a, b) for a in of for b in of if a < b and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b])}
+    assert len(pairs) <= near_copies.NEAREST * len(of)
+    assert len({s for p in pairs & links for s in p}) >= 0.8 * len({s for p in links for s in p})

@@ -1,24 +1,31 @@
 """Near copies by the Jaccard similarity of five-word shingles (the pipeline's near-dedup stage).
 
 Linked are texts whose sets of five-word shingles (whole, ASCII-lower-cased text; 64-bit hashes) have a
-similarity of 4/5 or more; links become components. Candidates come from prefixes: in any fixed order
-of all shingles, two sets of similarity 4/5 share one among the first n - ceil(4n/5) + 1 of each, so no
-link is lost. The order is by hash, with shingles that are frequent at the front of the sets put
-last, so that a common line fills no bucket.
+similarity of 4/5 or more; links become components. Two searches find them.
+
+The first is operator 4's: SimHash fingerprints, a covering code, a check, components. A set has WORDS
+fingerprints, each of 64 majority bits over its own mix of the shingles' hashes. Of sets of similarity 4/5 a
+tenth to a sixth of all bits differ, so one word within two bits is rare; of many words some meet. Each
+word has its home among the anchors and visits those that are an excess of EXCESS or less away, so sets that differ
+in fewer than (EXCESS + 1) * WORDS bits of all words visit an anchor together, and of others most do. A visitor is held
+against one set that is at home there, by the bits of another word; a set's nearest ones are confirmed.
+
+What fingerprints can't promise the second search finds, by prefixes: in any fixed order of all shingles, two sets
+of similarity 4/5 share one among the first n - ceil(4n/5) + 1 of each, so no link is lost. The order is by hash,
+with shingles that are frequent at the front of the sets put last, so that a common line fills no bucket.
 
 Every candidate is confirmed on the whole sets, but few sets travel: each set has an odd sketch (which
 of m slots hold an odd number of its hashes; m about its size, so an eighth of a byte a shingle). Two
 sketches differ in no more slots than the sets differ in shingles, so a pair that differs in more than a
 ninth of both sizes together is no link, and whole sets move for the pairs that are left alone.
 
-A bucket (the sets that share a shingle of their prefixes) is searched twice: first every set is held
-against few of the buckets' own hubs, picked by hash, which joins large groups of copies by a number
-of pairs that grows with the rows; then the sketches of all sets of a bucket that are not yet in one
-component, where they lie. Of the pairs that may link only a spanning forest leaves the task, a row a set.
+The first search joins large groups of copies by a number of pairs that grows with the rows. In a bucket
+(the sets that share a shingle of their prefixes) the sketches of all sets that are not yet in one
+component are compared, where they lie. Of the pairs that may link only a spanning forest leaves the task, a row a set.
 Its trees, joined over all buckets, are families: both sets of every pair that may link are in one. The whole sets of
 a family meet, in tiles of bounded bytes; pairs that a longer sketch doesn't rule out and that aren't joined yet
 are compared exactly, and the edges that join them leave. So no step makes a row a pair, however many copies of a text
-lie just below the threshold. The first search only spares comparisons; the second leaves none out.
+lie just below the threshold.
 
 Defined cases: as in simhash; a text of fewer than five words is one shingle; texts without words have
 the empty set and are copies of each other.
@@ -44,7 +51,12 @@ from .common import least_reached, sorted_groups, written
 SHINGLE = 5
 #: A shingle in the fronts of more sets than this goes last; with many rows, than a millionth of them.
 FREQUENT = 32
-HUBS = 2
+#: Fingerprints of a set, and how far beyond the radius each visits anchors: 10 rows a fingerprint.
+WORDS, EXCESS = 12, 1
+#: Sets whose next words differ in more bits are not confirmed: of a similarity of 4/5 one in thousands.
+APART = 20
+#: Sets that one is confirmed against in the first search, the nearest by their next words.
+NEAREST = 2
 #: Bits of the maps of texts in pairs, and of shared shingles.
 SLOTS, SHARED_SLOTS = 1 << 22, 1 << 26
 LEAST_SKETCH = 64
@@ -60,6 +72,8 @@ FAMILY_BYTES = 8 << 20
 FINE_SLOTS = 4
 
 _TIMES = bl.multipliers(SHINGLE, 17)
+_MIXES = bl.multipliers(WORDS, 23)
+_LANE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _NONE = np.empty(0, np.int64)
 
 
@@ -90,6 +104,19 @@ def signature(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WORDS signed numbers a set: the bits that are set in over half of its hashes, mixed anew for each word."""
+    n = np.array([len(s) for s in sets])
+    place = np.repeat(np.arange(len(sets)) << 8, n)
+    hashes = np.concatenate(sets).view(np.uint64) if sets else _NONE.view(np.uint64)
+    out = np.zeros((len(sets), WORDS), np.int64)
+    for k, m in enumerate(_MIXES):
+        lanes = bl.scrambled(hashes * m).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = [np.bincount(place + lanes[:, i], minlength=len(sets) << 8).reshape(-1, 256) @ _LANE_BITS for i in range(8)]
+        out[:, k] = np.packbits(2 * np.concatenate(ones, axis=1) > n[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """Which of m slots hold an odd number of the hashes; m: the least power of two that isn't below their number."""
     m = max(LEAST_SKETCH, 1 << max(len(shingles) - 1, 0).bit_length())
@@ -131,14 +158,45 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """(doc_id, fp, digest) of every row; fp: the signature of its set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.string())])
+    """(doc_id, fp, digest, words) of every row; fp: the signature of its set, words: its fingerprints."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.string()), ("words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, 1):
-            yield pa.record_batch([part.column(0), pa.array([signature(s) for s in sets], pa.int64()), part.column(2)], schema=schema)
+            words = pa.array(list(fingerprints(sets)), schema.field(3).type)
+            yield pa.record_batch([part.column(0), pa.array([signature(s) for s in sets], pa.int64()), part.column(2), words], schema=schema)
+
+    return texts.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(run, "doc_id bigint, fp bigint, digest string, words array<bigint>")
+
+
+def visits(of_set: DataFrame, excess: int) -> DataFrame:
+    """(anchor, fp, next): the anchors within the excess of each word of (fp, words), with the set's next word."""
+    schema = pa.schema([("anchor", pa.int32()), ("fp", pa.int64()), ("next", pa.int64())])
 
-    return texts.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(run, "doc_id bigint, fp bigint, digest string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fp = part.column(0).to_numpy(zero_copy_only=False)
+                words = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(fp), WORDS)
+                for k in range(WORDS):
+                    row, anchor, _ = simhash.covering(np.ascontiguousarray(words[:, k]), excess)
+                    yield pa.record_batch([pa.array((k << 25 | anchor).astype(np.int32)), pa.array(fp[row]), pa.array(words[row, (k + 1) % WORDS])], schema=schema)
+
+    return of_set.select("fp", "words").mapInArrow(run, "anchor int, fp bigint, next bigint")
+
+
+def covered(of_set: DataFrame) -> DataFrame:
+    """(a, b): sets (fp, words) that meet at an anchor, each with the nearest of those that it meets.
+
+    Of the sets at home at an anchor one, picked by hash, is its hub; the others visit it too, so a visit makes a row at most.
+    """
+    homes = visits(of_set, 0).groupBy("anchor").agg(F.min_by(F.struct("fp", "next"), F.xxhash64("anchor", "fp")).alias("hub"))
+    apart = F.bit_count(F.col("next").bitwiseXOR(F.col("hub.next")))
+    met = visits(of_set, EXCESS).hint("merge").join(homes, "anchor").where((F.col("fp") != F.col("hub.fp")) & (apart <= APART))
+    once = met.groupBy("fp", F.col("hub.fp").alias("hub")).agg(F.min(apart).alias("apart"))
+    few = once.withColumn("k", F.row_number().over(W.partitionBy("fp").orderBy("apart", F.xxhash64("fp", "hub")))).where(F.col("k") <= NEAREST)
+    return few.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def _bits(df: DataFrame, column: str, slots: int) -> bytes:
@@ -403,20 +461,20 @@ def families(texts: DataFrame, of_set: DataFrame, sizes: DataFrame, roots: DataF
 
 
 def links(texts: DataFrame, of_set: DataFrame) -> DataFrame:
-    """(a, b) signatures of confirmed pairs; their components are those of all pairs of a similarity of 4/5 or more."""
+    """(a, b) signatures of confirmed pairs; their components are those of all pairs of a similarity of 4/5 or more.
+
+    of_set: (fp, digest, words), a text of each set and its fingerprints.
+    """
+    tried = written(covered(of_set))
     counts = written(fronts(texts))
     last = frequent(counts)
     seen = counts.select("h").unionByName(behind(texts, last)) if len(last) else counts.select("h")
     sets = written(prefixes(texts, last, _bits(seen, "h", SHARED_SLOTS)))
     sketches = sets.select("fp", F.concat(F.unhex(F.lpad(F.hex("n"), 8, "0")), "sketch").alias("sketch"))
     rows = sets.select(F.explode("hs").alias("h"), "fp", "n")
-    shared = rows.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y"), F.min_by(F.struct("fp", "n"), F.xxhash64("h", "fp")).alias("hub")).where("x != y").select("h", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = rows.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("h")
     buckets = written(rows.hint("merge").join(shared, "h"))
-    near = lambda m, n: (5 * F.col(m) >= 4 * F.col(n)) & (5 * F.col(n) >= 4 * F.col(m))
-    pair = lambda u, v: [F.least(u, v).alias("a"), F.greatest(u, v).alias("b")]
-    met = buckets.where("fp != hub").where(near("n", "hub_n")).select("fp", "hub").distinct()
-    few = met.withColumn("k", F.row_number().over(W.partitionBy("fp").orderBy(F.xxhash64("fp", "hub")))).where(F.col("k") <= HUBS)
-    tried = written(few.select(*pair("fp", "hub")).distinct())
+    # Sets that share no shingle of their prefixes have no sketch here, and no link.
     first = confirmed(texts, of_set, _kept(tried, sketches, "sketch", _may_link))
     roots = written(simhash.components(first))
     rooted = buckets.select("h", "fp", "n").hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", F.coalesce("root", "fp").alias("root"))
@@ -431,7 +489,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """simhash.grouped with these links; fp is the signature of the set."""
     texts = _texts(docs, id_col, text_col)
     rows = written(signed(texts))
-    return simhash.rooted(rows, lambda distinct: links(texts, rows.groupBy("fp").agg(F.min("digest").alias("digest"))))
+    return simhash.rooted(rows, lambda distinct: links(texts, written(rows.groupBy("fp").agg(F.min_by(F.struct("digest", "words"), "digest").alias("w")).select("fp", "w.*"))))
 
 
 keep_one = functools.partial(simhash.keep_one, group=grouped)

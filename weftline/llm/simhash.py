@@ -88,9 +88,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @functools.cache
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each of the 2,048 syndromes the error patterns up to weight 5: (offsets, patterns, excess over the
-    radius); and the syndrome of each byte lane's values, to look syndromes up by XOR."""
+def golay(threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the 2,048 syndromes the error patterns up to weight 3 + threshold: (offsets, patterns, excess over
+    the radius); and the syndrome of each byte lane's values, to look syndromes up by XOR."""
     unit = []
     for bit in range(23):
         v = 1 << bit
@@ -98,7 +98,7 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             if v >> shift & 1:
                 v ^= GOLAY_POLYNOMIAL << (shift - 11)
         unit.append(v)
-    weights = range(3 + THRESHOLD + 1)
+    weights = range(3 + threshold + 1)
     patterns = [(w, sum(1 << b for b in bits), functools.reduce(lambda s, b: s ^ unit[b], bits, 0)) for w in weights for bits in itertools.combinations(range(23), w)]
     order = sorted(patterns, key=lambda x: (x[2], x[0], x[1]))
     syndromes = np.array([x[2] for x in order])
@@ -111,9 +111,9 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(syndromes, np.arange(2049)), np.array([x[1] for x in order], np.int64), np.array([max(0, x[0] - 3) for x in order]), lanes
 
 
-def golay_anchors(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def golay_anchors(part: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, excess) of all codewords at most radius + threshold from each value."""
-    offsets, patterns, excess, lanes = golay()
+    offsets, patterns, excess, lanes = golay(threshold)
     syndrome = lanes[0][part & 255] ^ lanes[1][part >> 8 & 255] ^ lanes[2][part >> 16]
     count = offsets[syndrome + 1] - offsets[syndrome]
     row = np.repeat(np.arange(len(part)), count)
@@ -121,22 +121,22 @@ def golay_anchors(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, part[row] ^ patterns[at], excess[at]
 
 
-def repeat_anchors(part: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeat_anchors(part: np.ndarray, length: int, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for the repetition code: the majority's word, and the other where the vote is near a tie."""
     ones = np.bitwise_count(part).astype(np.int64)
     home = (2 * ones > length).astype(np.int64)
     other = np.maximum(ones, length - ones) - length // 2  # distance of the other word, less the radius
-    near = np.flatnonzero(other <= THRESHOLD)
+    near = np.flatnonzero(other <= threshold)
     rows = np.arange(len(part))
     return np.concatenate([rows, near]), np.concatenate([home, 1 - home[near]]), np.concatenate([np.zeros_like(home), other[near]])
 
 
-def covering(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covering(values: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, excess) of each signed fingerprint's anchors; the home is the one without excess."""
     bits = values.view(np.uint64)
     cut = lambda lo, n: ((bits >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64)
-    row, anchor, excess = golay_anchors(cut(*GOLAY_PARTS[0]))
-    for k, (r, a, e) in enumerate((golay_anchors(cut(*GOLAY_PARTS[1])), repeat_anchors(cut(*REPEAT_PART), REPEAT_PART[1]))):
+    row, anchor, excess = golay_anchors(cut(*GOLAY_PARTS[0]), threshold)
+    for k, (r, a, e) in enumerate((golay_anchors(cut(*GOLAY_PARTS[1]), threshold), repeat_anchors(cut(*REPEAT_PART), REPEAT_PART[1], threshold))):
         order = np.argsort(r, kind="stable")
         r, a, e = r[order], a[order], e[order]
         starts = np.searchsorted(r, np.arange(len(values) + 1))
@@ -144,7 +144,7 @@ def covering(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left = np.repeat(np.arange(len(row)), count)
         right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[:-1][row], count)
         total = excess[left] + e[right]
-        near = total <= THRESHOLD
+        near = total <= threshold
         row, excess = row[left][near], total[near]
         anchor = anchor[left][near] << (23 if k == 0 else 1) | a[right][near]
     return row, anchor, excess
